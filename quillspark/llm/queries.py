@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, simhash, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,9 +20,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_read(spark, sf_dir, "documents"), shingle=3)
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
@@ -39,4 +49,23 @@ _SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op10_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+        ), starts AS (
+            SELECT doc_id, i, array_to_string(words[i:i + 34], ' ') AS win
+            FROM w, unnest(generate_series(1, len(words) - 34)) AS g(i)
+        ), twice AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS c FROM starts) WHERE c > 1
+        ), gone AS (
+            SELECT DISTINCT doc_id, p FROM twice, unnest(generate_series(i, i + 34)) AS g(p)
+        ), gone_list AS (
+            SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id
+        ), k AS (
+            SELECT w.doc_id, words, coalesce(ps, []) AS ps FROM w LEFT JOIN gone_list USING (doc_id)
+        )
+        SELECT doc_id, len(words) AS n_words, len(ps) AS n_removed,
+               sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(ps, i)), ' ')) AS kept_sha256
+        FROM k
+    """,
 }
