@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash, substring_dedup
+from . import exact_dedup, secret_scan, simhash, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +25,24 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"), shingle=3)
 
 
+def secret_columns(found: DataFrame) -> DataFrame:
+    """The findings as counts, joined spans and their digest."""
+
+    def joined(of):
+        return F.array_join(F.transform(of, lambda f: F.concat_ws(":", f.kind, f.start.cast("string"), f.end.cast("string"))), ",")
+
+    def count(name):
+        return F.size(F.filter("findings", lambda f: f.kind == name)).cast("bigint").alias(f"n_{name}")
+
+    base = F.filter("findings", lambda f: f.base)
+    counts = [count(r.name) for r in secret_scan.BASE]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_columns(secret_scan.scan_secrets(_read(spark, sf_dir, "documents")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -32,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_secret_scan": op6_secret_scan,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
