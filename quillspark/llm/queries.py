@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secret_scan, simhash, substring_dedup
+from . import exact_dedup, license_scan, secret_scan, simhash, substring_dedup, url_filter, warc
+from .common import new_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +22,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    warc.write_archive(_read(spark, sf_dir, "pages"), folder)
+    return warc.parse_records(warc.read_records(spark, folder)).drop("url")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"), shingle=3)
 
@@ -43,6 +50,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_columns(secret_scan.scan_secrets(_read(spark, sf_dir, "documents")))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages")).drop("pattern")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_read(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -50,8 +65,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_warc": op2_warc,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_secret_scan": op6_secret_scan,
+        "op7_url_filter": op7_url_filter,
+        "op9_license_scan": op9_license_scan,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
@@ -69,6 +87,40 @@ _SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op2_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS b, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
+        )
+        SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS payload_digest,
+               CASE WHEN octet_length(b) >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN octet_length(b) >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM p
+    """,
+    "op7_url_filter": r"""
+        WITH u AS (
+            SELECT page_id, coalesce(url, '') AS url,
+                   CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '://([^/?#]*)', 1) ELSE '' END AS raw_host
+            FROM pages
+        ), s AS (
+            SELECT page_id, url, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+            FROM u
+        ), rules(verdict, h, p) AS (
+            VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                   ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+        ), fits AS (
+            SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
+            FROM s JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+            GROUP BY page_id
+        )
+        SELECT s.page_id, host, path, rule,
+               coalesce(verdict, CASE
+                   WHEN regexp_matches(lower(url), '^[a-z]+://([^/?#]*\.)?(spam-farm|cheap-pills|free-bets|adult-[a-z0-9]+)\.') THEN 'block'
+                   WHEN regexp_matches(lower(url), '[?&]sessionid=[0-9a-f]{16,}') THEN 'block'
+                   WHEN regexp_matches(lower(url), '/wp-login\.php($|[?#])') THEN 'block'
+                   ELSE 'allow' END) AS verdict
+        FROM s LEFT JOIN fits USING (page_id)
+    """,
     "op10_substring_dedup": r"""
         WITH w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
