@@ -32,7 +32,7 @@ def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     lost executor costs a read, not a recomputation."""
     spark = df.sparkSession
     path = path or new_path(spark, what)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,13 +7,15 @@ super-k-mer) to that minimiser's bucket, where sorting counts windows exactly.
 
 1. Count minimisers over all documents (8 bytes each, partially aggregated).  Those
    that occur twice set a bit in a bitmap of fixed size, ``FILTER_BITS``, the only
-   thing broadcast.  Other windows can't have a twin and don't travel.  A
-   saturated bitmap lets more travel; the result is the same.
+   thing broadcast.  Other windows can't have a twin and don't travel.  A second
+   bitmap marks those that occur more than ``HOT`` times.  A saturated bitmap lets
+   more travel, or by the other way of step 3; the result is the same.
 2. Documents without a candidate are done where they are read.  Of the others the
    packed strings and the words go, with a row number, to a table in the shared folder.
-3. Equal packed strings fold by partial aggregation (a passage in a third of all
-   rows is one string).  Buckets are streamed in key order and their windows sorted.
-   Buckets above ``BUCKET`` windows are dealt anew by the window itself.
+3. A bucket's strings are streamed in key order and its windows sorted; it holds
+   ``HOT`` places at most.  Strings of hotter minimisers fold first where they are
+   equal (a passage in a third of all rows is one string), and each of their windows
+   is dealt and counted by its own 128-bit digest, so no task holds a hot bucket.
 4. Spans go back to their documents by row number.
 
 Defined cases: null text has no words; texts shorter than a window lose nothing;
@@ -37,8 +39,8 @@ from .common import doc_columns, written
 
 WINDOW, MINIMISER = 35, 8
 FILTER_BITS = 27
-#: Windows in one packed string, and in a bucket before it is dealt by window.
-PACKED, BUCKET = 128, 1 << 16
+#: Windows in one packed string; places of a minimiser above which its windows are dealt one by one.
+PACKED, HOT = 128, 1000
 _ROWS = 2000
 
 
@@ -76,28 +78,36 @@ def _count_keys(docs: DataFrame, window: int, size: int) -> DataFrame:
             none = [np.zeros(0, np.uint64)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys or none).view(np.int64)), pa.array(np.concatenate(counts or none).astype(np.int64))], ["key", "n"])
 
-    return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
+    return docs.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """The keys' low bits, as 64-bit words; at most 2^(bits-6) rows reach the driver."""
+def _bitmaps(keys: DataFrame, bits: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys' low bits, of all and of the hot ones, as 64-bit words; at most 2^(bits-6) rows reach the driver."""
     at = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
-    rows = keys.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(key & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy().astype(np.int64).view(np.uint64)
-    return out
+    bit = F.expr("shiftleft(1L, cast(key & 63 AS int))")
+    rows = keys.select(F.shiftright(at, 6).cast("int").alias("w"), bit.alias("b"), F.when(F.col("n") > hot, bit).otherwise(0).alias("h")).groupBy("w").agg(F.bit_or("b").alias("b"), F.bit_or("h").alias("h")).toArrow()
+    out = []
+    for name in "bh":
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[rows.column("w").to_numpy()] = rows.column(name).to_numpy().astype(np.int64).view(np.uint64)
+        out.append(words)
+    return tuple(out)
 
 
-_TRAVEL = "kind int, uid bigint, doc_id bigint, n_words bigint, sha string, words binary, key bigint, ph binary, start int, n int, packed binary"
+def _has(words: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (words[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _travelling(docs: DataFrame, bitmap, bits: int, window: int, size: int) -> DataFrame:
+_TRAVEL = "kind int, uid bigint, doc_id bigint, n_words bigint, sha string, words binary, key bigint, hot boolean, start int, n int, packed binary"
+
+
+def _travelling(docs: DataFrame, bitmaps, bits: int, window: int, size: int) -> DataFrame:
     """Documents that are done (kind 0), words of the others (2) and their packed strings (1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 36
-        table, mask = bitmap.value, np.uint64((1 << bits) - 1)
-        schema = pa.schema([("kind", pa.int32()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("words", pa.binary()), ("key", pa.int64()), ("ph", pa.binary()), ("start", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())])
+        (table, hot_table), mask = bitmaps.value, np.uint64((1 << bits) - 1)
+        schema = pa.schema([("kind", pa.int32()), ("uid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("words", pa.binary()), ("key", pa.int64()), ("hot", pa.bool_()), ("start", pa.int32()), ("n", pa.int32()), ("packed", pa.binary())])
         rows: list[tuple] = []
 
         def batch_of() -> pa.RecordBatch:
@@ -111,15 +121,16 @@ def _travelling(docs: DataFrame, bitmap, bits: int, window: int, size: int) -> D
                 if len(words) >= window:
                     _, least = minimisers(words, window, size)
                     low = least & mask
-                    at = np.flatnonzero((table[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1))
+                    at = np.flatnonzero(_has(table, low))
                     if len(at):
                         some = True
                         cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(least[at]) != 0)) + 1
                         for run_of in np.split(at, cut):
+                            hot = bool(_has(hot_table, low[run_of[:1]])[0])
                             for i in range(int(run_of[0]), int(run_of[-1]) + 1, PACKED):
                                 n = min(PACKED, int(run_of[-1]) + 1 - i)
                                 packed = b" ".join(words[i : i + n + window - 1])
-                                rows.append((1, uid, None, None, None, None, int(least[i].astype(np.int64)), hashlib.blake2b(packed, digest_size=16).digest(), i, n, packed))
+                                rows.append((1, uid, None, None, None, None, int(least[i].astype(np.int64)), hot, i, n, packed))
                                 if len(rows) >= _ROWS:
                                     yield batch_of()
                                     rows = []
@@ -146,29 +157,31 @@ def _runs(marks: list[bool]) -> list[int]:
     return edges.tolist()
 
 
-def _bucket_runs(rows: list[tuple], window: int) -> list[list[int]]:
-    """Of one bucket's (digest, uses, n, packed): the windows that occur twice, by sorting all of them."""
-    if len(rows) == 1 and rows[0][1] > 1:
-        return [[0, rows[0][2]]]
-    each = [(w, i, j) for i, r in enumerate(rows) for j, w in enumerate(_windows(r[3], r[2], window))]
+def _bucket_runs(strings: list[tuple[bytes, int]], window: int) -> list[list[int]]:
+    """Of one bucket's (packed string, windows): the windows that occur twice, by sorting all of them."""
+    each = [(w, i, j) for i, (packed, n) in enumerate(strings) for j, w in enumerate(_windows(packed, n, window))]
     each.sort()
-    marks = [[r[1] > 1] * r[2] for r in rows]
+    marks = [[False] * n for _, n in strings]
     for (w, i, j), (v, k, m) in zip(each, each[1:]):
         if w == v:
             marks[i][j] = marks[k][m] = True
     return [_runs(m) for m in marks]
 
 
-def _cold(strings: DataFrame, window: int) -> DataFrame:
+_SPANS = "uid bigint, start int, runs array<int>"
+
+
+def _cold(placed: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group, out = None, [], []
 
         def done() -> None:
-            out.extend((key, r[0], x) for r, x in zip(group, _bucket_runs(group, window)) if x)
+            if len(group) > 1 or group and group[0][2] > 1:
+                out.extend((r[0], r[1], x) for r, x in zip(group, _bucket_runs([(r[3], r[2]) for r in group], window)) if x)
 
         def batch_of() -> pa.RecordBatch:
-            k, p, x = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(p, pa.binary()), pa.array(x, pa.list_(pa.int32()))], ["key", "ph", "runs"])
+            u, i, x = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(i, pa.int32()), pa.array(x, pa.list_(pa.int32()))], ["uid", "start", "runs"])
 
         for batch in batches:
             for k, *r in zip(*(c.to_pylist() for c in batch.columns)):
@@ -183,21 +196,24 @@ def _cold(strings: DataFrame, window: int) -> DataFrame:
         if out:
             yield batch_of()
 
-    return strings.select("key", "ph", "uses", "n", "packed").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "key bigint, ph binary, runs array<int>")
+    return placed.select("key", "uid", "start", "n", "packed").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, _SPANS)
 
 
-def _hot(strings: DataFrame, window: int) -> DataFrame:
-    """Buckets too large for one task: each window goes to a place of its own."""
+def _hot(placed: DataFrame, window: int) -> DataFrame:
+    """Each window goes to a place of its own; equal strings fold first and come back by their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, p, u, n, packed in zip(*(c.to_pylist() for c in batch.columns)):
-                yield pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int64()), pa.array([p] * n, pa.binary()), pa.array([u] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(_windows(packed, n, window), pa.binary())], ["key", "ph", "uses", "i", "w"])
+            for string, uses, n, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                digests = [hashlib.blake2b(w, digest_size=16).digest() for w in _windows(packed, n, window)]
+                yield pa.RecordBatch.from_arrays([pa.array([string] * n), pa.array([uses] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(digests, pa.binary())], ["string", "uses", "i", "w"])
 
-    each = strings.select("key", "ph", "uses", "n", "packed").mapInArrow(run, "key bigint, ph binary, uses bigint, i int, w binary")
+    string = F.sha2("packed", 256).alias("string")
+    folded = placed.select(string, "n", "packed").groupBy("string", "n", "packed").agg(F.count("*").alias("uses")).select("string", "uses", "n", "packed")
+    each = folded.mapInArrow(run, "string string, uses bigint, i int, w binary")
     twice = each.groupBy("w").agg(F.sum("uses").alias("c")).filter("c > 1").select("w")
-    found = each.join(twice, "w", "left_semi").groupBy("key", "ph").agg(F.collect_list("i").alias("at"))
-    return found.select("key", "ph", F.flatten(F.transform("at", lambda i: F.array(i, i + 1))).alias("runs"))
+    found = each.join(twice, "w", "left_semi").groupBy("string").agg(F.flatten(F.transform(F.array_sort(F.collect_list("i")), lambda i: F.array(i, i + 1))).alias("runs"))
+    return placed.select("uid", "start", string).join(found, "string").select("uid", "start", "runs")
 
 
 def _shorten(words: list[bytes], spans: list[tuple[int, int]], window: int) -> tuple[int, bytes]:
@@ -209,22 +225,19 @@ def _shorten(words: list[bytes], spans: list[tuple[int, int]], window: int) -> t
     return int(out.sum()), b" ".join([w for w, x in zip(words, out.tolist()) if not x])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, bits: int = FILTER_BITS, bucket: int = BUCKET) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, size: int = MINIMISER, bits: int = FILTER_BITS, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, kept_sha256), a row per document.
 
     kept_text is null where nothing was removed: the document's own words stay.
     """
     spark = docs.sparkSession
     docs = doc_columns(docs, ("doc_id", "bigint"), ("text", "string"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(_count_keys(docs, window, size), bits))
-    table = written(_travelling(docs, bitmap, bits, window, size), "windows")
+    bitmaps = spark.sparkContext.broadcast(_bitmaps(_count_keys(docs, window, size), bits, hot))
+    table = written(_travelling(docs, bitmaps, bits, window, size), "windows")
     done = table.filter("kind = 0").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), F.lit(None).cast("string").alias("kept_text"), F.col("sha").alias("kept_sha256"))
     placed = table.filter("kind = 1")
-    strings = placed.groupBy("key", "ph", "n", "packed").agg(F.count("*").alias("uses"))
-    hot = strings.groupBy("key").agg(F.sum("n").alias("all")).filter(F.col("all") > bucket).select("key", F.lit(True).alias("hot"))
-    routed = strings.join(hot, "key", "left")
-    found = _cold(routed.filter("hot IS NULL"), window).unionAll(_hot(routed.filter("hot"), window))
-    spans = placed.select("uid", "key", "ph", "start").join(found, ["key", "ph"]).groupBy("uid").agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
+    found = _cold(placed.filter("NOT hot"), window).unionAll(_hot(placed.filter("hot"), window))
+    spans = found.groupBy("uid").agg(F.collect_list(F.struct("start", "runs")).alias("spans"))
     texts = table.filter("kind = 2").select("uid", "doc_id", "words").join(spans, "uid", "left").select("doc_id", "words", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

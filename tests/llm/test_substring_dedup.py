@@ -48,7 +48,7 @@ def test_against_brute_force(spark):
 
 def test_hot_buckets_and_a_full_filter(spark):
     texts = corpus(3)
-    assert got(spark, texts, 10, size=4, bits=6, bucket=2) == brute(texts, 10)
+    assert got(spark, texts, 10, size=4, bits=6, hot=2) == brute(texts, 10)
 
 
 def test_window_of_production(spark):
