@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, secret_scan, simhash, substring_dedup, url_filter, warc
+from . import decontaminate, exact_dedup, license_scan, piece_sampler, quality, secret_scan, simhash, substring_dedup, url_filter, warc
 from .common import new_path
 
 
@@ -28,6 +28,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.parse_records(warc.read_records(spark, folder)).drop("url")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampler.encode_samples(_read(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_read(spark, sf_dir, "documents"), shingle=3)
 
@@ -54,6 +62,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages")).drop("pattern")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(_read(spark, sf_dir, "documents"))
 
@@ -66,9 +78,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_warc": op2_warc,
+        "op3_sentencepiece": op3_sentencepiece,
+        "op4_decontaminate": op4_decontaminate,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_secret_scan": op6_secret_scan,
         "op7_url_filter": op7_url_filter,
+        "op8_quality": op8_quality,
         "op9_license_scan": op9_license_scan,
         "op10_substring_dedup": op10_substring_dedup,
     }
