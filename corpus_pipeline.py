@@ -1,10 +1,60 @@
-"""A training corpus from raw documents: STAGES, each on all that the one before kept."""
+"""A training corpus from raw documents.
+
+STAGES in order, each on all that the one before kept: documents that the quality
+classifier rejects go; of exact copies one stays; of near copies one stays; documents
+that hold a benchmark item go; what is left is encoded to sampled piece ids.
+
+Between stages the documents are a table in the shared folder, so a lost executor
+costs a part of one stage.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from quillspark.llm import decontaminate, exact_dedup, piece_sampler, quality, simhash
+from quillspark.llm.common import written
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_copies(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return piece_sampler.encode_samples(docs)
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("sentencepiece", encode),
+]
+
+#: The classifier, the edit matching and the sampling have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded corpus of ``sf_dir``'s documents."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
