@@ -1,4 +1,4 @@
-"""The catalogue of queries over the reference's operators, with their SQL."""
+"""The catalogue of queries over the engine's operators, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.plans import search_queries
+
+_PARTS = (search_queries,)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.FUNCTIONS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for part in _PARTS for name, text in part.SQL.items()}
