@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import ingest_queries, search_queries
+from quillspark.plans import ingest_queries, search_queries, state_queries
 
-_PARTS = (search_queries, ingest_queries)
+_PARTS = (search_queries, ingest_queries, state_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
