@@ -57,7 +57,7 @@ def manifest(spark: SparkSession, folder: str) -> dict | None:
     return json.loads("\n".join(r.value for r in spark.read.text(f"{folder}/manifest.json").collect()))
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, p = _fs(spark, path)
     part = spark._jvm.org.apache.hadoop.fs.Path(path + ".part")
     out = fs.create(part, True)
@@ -82,12 +82,12 @@ def save(index: Index, folder: str, name: str, created: str, provenance: dict[st
         postings.groupBy("field", "term").agg(F.count("*").alias("df")).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{folder}/{name}/vocabulary")
         index.documents.write.mode("overwrite").parquet(f"{folder}/{name}/documents")
         index.field_stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}/field_stats")
-        _write_text(spark, f"{folder}/{name}/schema.json", json.dumps([asdict(f) for f in index.schema]))
-        _write_text(spark, f"{folder}/{name}/_complete", created)
+        write_text(spark, f"{folder}/{name}/schema.json", json.dumps([asdict(f) for f in index.schema]))
+        write_text(spark, f"{folder}/{name}/_complete", created)
     old = manifest(spark, folder) or {}
     at = old.get("created_at") if old.get("latest_segment_id") == name else created
     count = spark.read.parquet(f"{folder}/{name}/documents").count()
-    _write_text(spark, f"{folder}/manifest.json", json.dumps({"latest_segment_id": name, "created_at": at, "doc_count": count, "provenance": provenance or {}}))
+    write_text(spark, f"{folder}/manifest.json", json.dumps({"latest_segment_id": name, "created_at": at, "doc_count": count, "provenance": provenance or {}}))
     return new
 
 
