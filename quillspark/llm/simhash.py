@@ -13,6 +13,9 @@
    but a link less than fingerprints, whatever the group's size.
 6. Connected components over the links.
 
+:func:`similar_groups` does the same for copies by similarity, with fingerprints of 1024
+bits; :func:`drop_near_copies` stands on it.
+
 Defined cases: null text counts as empty; a text without words has fingerprint
 zero and links like any other; fewer words than a shingle make one shingle of all.
 A null doc_id is never a component's id unless no member has one (then null).
@@ -40,18 +43,23 @@ BUCKET = 4096
 _PART = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash.  ``bytes.lower`` and ``bytes.split`` know ASCII only, as the contract asks."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle.  ``bytes.lower`` and ``bytes.split`` know ASCII only, as the contract asks."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
-    starts = ends - size
     k = min(shingle, len(words))
+    n = len(words) - k + 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip((ends - size)[:n].tolist(), ends[k - 1 :].tolist())), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash."""
+    hashes = shingle_hashes(text, shingle)
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _PART):
         part = hashes[at : at + _PART]
@@ -147,13 +155,183 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     return each.join(reps, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Of each component the document with its smallest id, with all columns.
+# --- By similarity ------------------------------------------------------------------------------
+#
+# Three bits of 64 catch near-identical texts.  Copies with a Jaccard similarity of 0.8
+# differ in ten bits of 64, too many for blocks that still tell texts apart.  A fingerprint
+# of 1024 bits has 64 blocks of 16: two texts with similarity s agree in a bit with chance
+# 1 - acos(2s / (1 + s)) / pi, so at 0.8 they share a block with chance 0.994 (0.9998 at 0.9).
+
+WIDE, BLOCK = 16, 16
+SIMILARITY = 0.8
+_CHUNK, _SMALL, _NEAR = 4096, 32, 20
+_MIXES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+
+
+def wide_fingerprint(text: str | None, shingle: int = SHINGLE, wide: int = WIDE) -> tuple[int, bytes]:
+    """(shingles, fingerprint of 64 * wide bits): majority bits over mixes of each shingle's hash."""
+    h = shingle_hashes(text, shingle)
+    votes = np.zeros(64 * wide, np.int64)
+    steps = np.arange(1, wide + 1, dtype=np.uint64) * _MIXES[0]
+    for at in range(0, len(h), 255 * 16):
+        part = h[at : at + 255 * 16]
+        mixed = np.empty((len(part), wide), np.uint64)
+        for i in range(wide):
+            x = part + steps[i]
+            x = (x ^ (x >> np.uint64(30))) * _MIXES[1]
+            x = (x ^ (x >> np.uint64(27))) * _MIXES[2]
+            mixed[:, i] = x ^ (x >> np.uint64(31))
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(len(part), 8 * wide), axis=1, bitorder="little")
+        for j in range(0, len(part), 255):
+            votes += np.add.reduce(bits[j : j + 255], axis=0, dtype=np.uint8)
+    return len(h), np.packbits(2 * votes > len(h), bitorder="little").tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: int = WIDE) -> DataFrame:
+    """(doc_id, n, fp), a row per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [wide_fingerprint(t.as_py(), shingle, wide) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int32()), pa.array([f for _, f in rows], pa.binary())], ["doc_id", "n", "fp"])
+
+    return doc_columns(docs, ("doc_id", "bigint"), ("text", "string")).mapInArrow(run, "doc_id bigint, n int, fp binary")
+
+
+def differing_bits(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Bits in which texts of a similarity differ, and one standard deviation more."""
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * p + (bits * p * (1 - p)) ** 0.5)
+
+
+def _keyed(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(key, id, sketch): a row per block, for each class of lengths that a text may meet.
+
+    Texts of a similarity s have numbers of shingles within a factor s; classes are three
+    such factors wide, and a text near its class's upper end is also in the next.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = -3 * np.log(similarity)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            place = np.log(np.maximum(batch.column(1).to_numpy(zero_copy_only=False), 1)) / width
+            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(len(ids), -1)
+            sketch = fps[:, :4].copy().view("<u8").ravel() ^ fps[:, -4:].copy().view("<u8").ravel()
+            level = np.floor(place).astype(np.uint64)
+            for up in (0, 1):
+                at = np.arange(len(ids)) if not up else np.flatnonzero(place - np.floor(place) >= 2 / 3 - 1e-9)
+                blocks = fps[at].astype(np.uint64)
+                key = (np.arange(fps.shape[1], dtype=np.uint64) << np.uint64(48)) | ((level[at] + np.uint64(up))[:, None] << np.uint64(16)) | blocks
+                many = fps.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids[at], many)), pa.array(np.repeat(sketch[at], many).view(np.int64))], ["key", "id", "sketch"])
+
+    return distinct.select("id", "n", "fp").mapInArrow(run, "key bigint, id bigint, sketch bigint")
+
+
+def _bucket_pairs(keyed: DataFrame, near: int = _NEAR) -> DataFrame:
+    """(a, b): rows of a bucket whose sketches are near.
+
+    Small buckets give all such pairs, at most ``_SMALL`` a row.  Larger ones are streamed
+    in parts of ``_CHUNK`` rows, each with a spanning forest whose roots join the next part:
+    memory is bounded and the links are fewer than the rows, whatever the bucket's size.
+    """
+
+    def forest(ids: np.ndarray, sketches: np.ndarray) -> tuple[list, np.ndarray]:
+        pairs, rest, roots = [], np.arange(len(ids)), []
+        while len(rest):
+            roots.append(rest[0])
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                q = queue.pop()
+                hit = np.bitwise_count(sketches[rest] ^ sketches[q]) <= near
+                if hit.any():
+                    found, rest = rest[hit], rest[~hit]
+                    pairs += [(ids[q], ids[x]) for x in found]
+                    queue += found.tolist()
+        return pairs, np.array(roots, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_key, kept = None, (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+        def out(pairs: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+            both = np.unique(np.sort(both, axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, ids, sk = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            sk = sk.view(np.uint64)
+            if kept_key is not None and key[0] == kept_key:
+                key, ids, sk = np.concatenate([np.full(len(kept[0]), kept_key), key]), np.concatenate([kept[0], ids]), np.concatenate([kept[1], sk])
+            starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+            sizes = np.diff(starts, append=len(key))
+            pairs = []
+            small = np.repeat(sizes <= _SMALL, sizes)
+            for d in range(1, _SMALL):
+                same = np.flatnonzero((key[d:] == key[:-d]) & small[d:]) if d < len(key) else []
+                if not len(same):
+                    break
+                hit = same[np.bitwise_count(sk[same] ^ sk[same + d]) <= near]
+                pairs.append(np.stack([ids[hit], ids[hit + d]], axis=1))
+            kept = (ids[starts[-1] :][-_SMALL:], sk[starts[-1] :][-_SMALL:])
+            for i, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist()):
+                own_ids, own_sk = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+                for j in range(i, i + n, _CHUNK):
+                    own_ids, own_sk = np.concatenate([own_ids, ids[j : min(j + _CHUNK, i + n)]]), np.concatenate([own_sk, sk[j : min(j + _CHUNK, i + n)]])
+                    found, roots = forest(own_ids, own_sk)
+                    pairs.append(np.array(found, np.int64).reshape(-1, 2))
+                    roots = roots[-_CHUNK:]
+                    own_ids, own_sk = own_ids[roots], own_sk[roots]
+                if i == starts[-1]:
+                    kept = (own_ids, own_sk)
+            kept_key = key[-1]
+            yield out(pairs)
+
+    return keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_links(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): pairs of ``distinct(id, n, fp)`` verified by the Hamming distance of whole fingerprints."""
+    pairs = _bucket_pairs(_keyed(distinct, similarity)).filter("a <> b").distinct()
+    bits = differing_bits(similarity)
+    left = distinct.select(F.col("id").alias("a"), F.col("fp").alias("fa"))
+    right = distinct.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                fa, fb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
+                keep = pa.array(np.bitwise_count(fa ^ fb).sum(axis=1, dtype=np.int64) <= bits)
+                yield batch.select(["a", "b"]).filter(keep)
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row per document.
+
+    Rows without id link by equal fingerprints only.
+    """
+    each = written(wide_fingerprints(docs, shingle), "wide-fingerprints")
+    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
+    known = distinct.filter("id IS NOT NULL")
+    roots = connected_components(similar_links(known, similarity)).select(F.col("node").alias("id"), "root")
+    named = distinct.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    return each.join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """Of each group of :func:`similar_groups` the document with its smallest id, with all columns.
 
     Documents without an id stay when their component has no id either.  Rows that
     share the id of the document that stays all stay.
     """
-    groups = near_groups(docs, shingle)
+    groups = similar_groups(docs, similarity, shingle)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id")).distinct()
     named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))))
     return named.join(kept, "__id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -116,3 +116,58 @@ def test_edges(spark):
 def test_drop(spark):
     docs = spark.createDataFrame([(2, "a b c d", "x"), (1, "A B c d", "y"), (9, "quite another text", "z")], DOCS)
     assert sorted(simhash.drop_near_copies(docs).collect()) == [(1, "A B c d", "y"), (9, "quite another text", "z")]
+
+
+def jaccard(a, b, k=5):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def test_groups_by_similarity(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(4000)]
+    texts = {}
+    for g in range(60):
+        base = [rng.choice(vocab) for _ in range(rng.randrange(120, 400))]
+        for c in range(4):
+            changed = list(base)
+            for _ in range(c * len(base) // 120):
+                changed[rng.randrange(len(base))] = rng.choice(vocab)
+            texts[len(texts) + 1] = " ".join(changed)
+    docs = spark.createDataFrame([(i, t, None) for i, t in texts.items()] + [(None, texts[1], None), (0, None, None), (1000, "", None)], DOCS)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect() if r.doc_id is not None}
+    assert len(got) == len(texts) + 2
+    pairs = [(a, b) for a in texts for b in texts if a < b and (a - 1) // 4 == (b - 1) // 4]
+    close = [(a, b) for a, b in pairs if jaccard(texts[a], texts[b]) >= 0.82]
+    assert len(close) > 60
+    assert sum(got[a] == got[b] for a, b in close) >= 0.98 * len(close)
+    assert not any(got[a] == got[b] for a in texts for b in texts if (a - 1) // 4 != (b - 1) // 4)
+    assert got[0] == got[1000] == 0
+    alone = [r.component_id for r in simhash.similar_groups(docs).collect() if r.doc_id is None]
+    assert alone == [1]
+
+
+def test_one_large_group_of_near_copies(spark):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    texts = []
+    for i in range(9000):
+        changed = list(base)
+        changed[rng.randrange(300)] = f"x{i}"
+        texts.append(" ".join(changed))
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], DOCS).repartition(8)
+    links = simhash.similar_links(simhash.wide_fingerprints(docs).selectExpr("doc_id AS id", "n", "fp"))
+    assert links.count() < 64 * 9000
+    groups = simhash.similar_groups(docs).groupBy("component_id").count().collect()
+    assert [(r.component_id, r["count"]) for r in groups] == [(0, 9000)]
+
+
+def test_wide_bits():
+    a = simhash.wide_fingerprint("one two three four five six")
+    assert a[0] == 2 and len(a[1]) == 128
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" ") == (0, bytes(128))
+    assert simhash.wide_fingerprint("a b") == simhash.wide_fingerprint(" A  b ")
