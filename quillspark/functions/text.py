@@ -36,13 +36,18 @@ NOT_ACRONYMS = tuple("THE AND FOR WITH HOW WHAT WHEN WHERE THAT THIS FROM HAVE W
 VERB_STEMS = tuple("creat updat delet retriev validat serializ authentica authoriz configur deploy instal enabl disabl".split())
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def clean_heading(text: Column) -> Column:
     """Without a pilcrow link at its end, spaces collapsed."""
-    return collapse(F.regexp_replace(F.trim(text), r"(?U)\s*\[¶\]\(.*?\)$", ""))
+    return collapse(F.regexp_replace(strip(text), r"(?U)\s*\[¶\]\(.*?\)$", ""))
 
 
 def headings(markdown: Column, levels: Sequence[int] = (1, 2, 3, 4, 5, 6)) -> Column:
@@ -55,7 +60,7 @@ def headings(markdown: Column, levels: Sequence[int] = (1, 2, 3, 4, 5, 6)) -> Co
 
 def excerpt(markdown: Column, most: int = 320) -> Column:
     """The first paragraph that isn't a heading or a fence line, on one line."""
-    lines = F.transform(F.split(markdown, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), F.trim)
+    lines = F.transform(F.split(markdown, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), strip)
     marked = F.transform(lines, lambda s: F.when((s == "") | s.startswith("#") | s.startswith("```"), "").otherwise(s))
     start = F.array_position(F.transform(marked, lambda s: s != ""), True)
     rest = F.slice(marked, F.greatest(start, F.lit(1)).cast("int"), F.size(marked))
@@ -69,9 +74,9 @@ def title(given: Column, front: Column, markdown: Column, stem: Column) -> Colum
     first = F.get(F.concat(headings(markdown, (1,)), headings(markdown, (2,)), headings(markdown, (3, 4, 5, 6))), 0)
 
     def some(c):
-        return F.when(F.trim(c) != "", c)
+        return F.when(strip(c) != "", c)
 
-    return F.coalesce(some(given), some(front), first, F.trim(F.replace(stem, F.lit("-"), F.lit(" "))))
+    return F.coalesce(some(given), some(front), first, strip(F.replace(stem, F.lit("-"), F.lit(" "))))
 
 
 def language(url: Column, given: Column | None = None) -> Column:
@@ -83,20 +88,20 @@ def language(url: Column, given: Column | None = None) -> Column:
     chain = F.coalesce(chain, F.lit("en"))
     if given is None:
         return chain
-    return F.when(F.trim(given) != "", F.substring(F.lower(F.trim(given)), 1, 5)).otherwise(chain)
+    return F.when(strip(given) != "", F.substring(F.lower(strip(given)), 1, 5)).otherwise(chain)
 
 
 def clean_markdown(text: Column) -> Column:
     """Blank runs to one blank line, space runs to one space."""
     lines = F.regexp_replace(text, r"(?m)^[ \t\x0b\x0c\r]+$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"[ \t]+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"[ \t]+", " "))
 
 
 def direct_markdown(text: Column) -> Column:
     """Without a byte order mark and carriage returns; blank runs to one; in lines that aren't
     fences, three spaces or more to two unless a backtick stands before them; a line end at the end."""
     body = F.replace(F.regexp_replace(text, "^﻿+", ""), F.lit("\r\n"), F.lit("\n"))
-    lines = F.transform(F.split(body, "\n", -1), lambda s: F.when(F.trim(s) == "", "").otherwise(s))
+    lines = F.transform(F.split(body, "\n", -1), lambda s: F.when(strip(s) == "", "").otherwise(s))
 
     def spaced(s):
         indent = F.regexp_extract(s, "^ *", 0)
@@ -105,11 +110,11 @@ def direct_markdown(text: Column) -> Column:
 
     kept = F.filter(lines, lambda s, i: (s != "") | (i == 0) | (F.get(lines, i - 1) != ""))
     out = F.array_join(F.transform(kept, spaced), "\n")
-    return F.when(F.trim(body) == "", "").when(out.endswith("\n"), out).otherwise(F.concat(out, F.lit("\n")))
+    return F.when(strip(body) == "", "").when(out.endswith("\n"), out).otherwise(F.concat(out, F.lit("\n")))
 
 
 def html_title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return strip(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def html_text(html: Column) -> Column:
@@ -117,7 +122,7 @@ def html_text(html: Column) -> Column:
     bare = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>", "")
     bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", "")
     body = F.regexp_extract(bare, r"(?is)<body[^>]*>(.*)", 1)
-    pieces = F.transform(F.split(F.when(body != "", body).otherwise(bare), r"<[^>]*>"), lambda p: F.trim(unescape(p)))
+    pieces = F.transform(F.split(F.when(body != "", body).otherwise(bare), r"<[^>]*>"), lambda p: strip(unescape(p)))
     return F.array_join(F.filter(pieces, lambda p: p != ""), "\n")
 
 
@@ -138,7 +143,7 @@ def html_links(html: Column) -> Column:
 
 
 def enough_words(text: Column, least: int = 150) -> Column:
-    return F.size(F.split(F.trim(text), r"\s+")) >= least
+    return F.size(F.split(strip(text), r"\s+")) >= least
 
 
 def slug_title(url: Column) -> Column:
@@ -179,9 +184,9 @@ def front_matter(content: Column) -> Column:
     """
     block = F.regexp_extract(content, r"(?s)\A-----\s*\n(.*?)\n-----\s*\n", 1)
     rest = F.regexp_replace(content, r"(?s)\A-----\s*\n.*?\n-----\s*\n", "")
-    lines = F.filter(F.split(block, "\n"), lambda s: (F.trim(s) != "") & ~s.startswith("#"))
+    lines = F.filter(F.split(block, "\n"), lambda s: (strip(s) != "") & ~s.startswith("#"))
     flat = F.forall(lines, lambda s: s.rlike(r"^[\w.-]+:(\s.*)?$"))
-    values = F.transform(lines, lambda s: F.regexp_replace(F.trim(F.regexp_replace(s, r"^[\w.-]+:", "")), r"""^(["'])(.*)\1$""", "$2"))
+    values = F.transform(lines, lambda s: F.regexp_replace(strip(F.regexp_replace(s, r"^[\w.-]+:", "")), r"""^(["'])(.*)\1$""", "$2"))
     pairs = F.map_from_entries(F.array_distinct(F.zip_with(F.transform(lines, lambda s: F.regexp_extract(s, r"^([\w.-]+):", 1)), values, lambda k, v: F.struct(k, v))))
     none = F.create_map().cast("map<string,string>")
     valid = (block != "") & flat

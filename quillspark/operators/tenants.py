@@ -65,7 +65,7 @@ def command_line_score(query: Column, codename: Column, display: Column, descrip
 
     own, shown = parts(codename), parts(display)
     ratio = held(own) / F.nullif(F.size(own), F.lit(0))
-    whole = F.concat(F.lit(" "), low, F.lit(" ")).rlike(F.concat(F.lit(r"[ -]\Q"), name, F.lit(r"\E[ -]")))
+    whole = F.rlike(F.concat(F.lit(" "), low, F.lit(" ")), F.concat(F.lit(r"[ -]\Q"), name, F.lit(r"\E[ -]")))
     by_name = F.when(ratio >= 1, 1.0 + held(own) * 0.01).when(whole, 1.0).otherwise(F.coalesce(ratio, F.lit(0.0)) * 0.9)
     by_display = F.coalesce(held(shown) / F.nullif(F.size(shown), F.lit(0)), F.lit(0.0)) * 0.85
     about = F.lower(F.coalesce(description, F.lit("")))

@@ -40,8 +40,13 @@ def document_files(spark: SparkSession, folder: str, extensions: Sequence[str] =
     return files.select(rel.alias("rel_path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.decode("content", "utf-8").alias("content")).filter(_inside(F.col("rel_path")))
 
 
-def metadata_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(meta_path, modified, url, title, metadata) of every metadata file; unreadable ones have a null url."""
+def metadata_files(spark: SparkSession, folder: str, below: str = "__docs_metadata") -> DataFrame:
+    """(meta_path, modified, url, title, metadata) of every metadata file; unreadable ones have a null url.
+
+    The folder of metadata is named itself: Spark's listing passes over names that
+    begin with an underscore, in it and among documents.
+    """
+    folder = f"{folder.rstrip('/')}/{below}"
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.meta.json").option("wholetext", True).text(folder)
     row = F.from_json("value", METADATA)
     return files.select(relative(F.col("_metadata.file_path"), folder).alias("meta_path"), F.col("_metadata.file_modification_time").alias("modified"), row.alias("r")).select("meta_path", "modified", "r.*")
@@ -53,7 +58,7 @@ def with_metadata(files: DataFrame, metadata: DataFrame) -> DataFrame:
     ``error`` tells of metadata whose file is missing.  A file that metadata names isn't
     read a second time on its own.
     """
-    target = F.coalesce("metadata.markdown_rel_path", F.regexp_replace("meta_path", r"^(.*/)?__docs_metadata/|\.meta\.json$", ""))
+    target = F.coalesce("metadata.markdown_rel_path", F.regexp_replace("meta_path", r"\.meta\.json$", ".md"))
     named = metadata.select(target.alias("target"), "url", "title", F.col("metadata.last_fetched_at").alias("last_fetched_at"), F.col("metadata.indexed_at").alias("indexed_at"))
     joined = named.join(files, named["target"] == files["rel_path"], "left")
     first = joined.select(F.coalesce("rel_path", "target").alias("rel_path"), "url", "title", "last_fetched_at", "indexed_at", "modified", "content", F.when(F.col("rel_path").isNull(), "missing file").alias("error"))

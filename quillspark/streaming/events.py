@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspark.operators.state import bucket_counts
@@ -66,7 +65,7 @@ def history_of_files(spark: SparkSession, path: str, seconds: int = 60) -> DataF
     return rows.withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
-_STATE = T.StructType.fromDDL("retry_count int, last_status string, next_due double")
+_STATE = "retry_count int, last_status string, next_due double"
 _OUT = "canonical_url bigint, last_status string, retry_count int, next_due_at timestamp"
 
 
