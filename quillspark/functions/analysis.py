@@ -59,6 +59,19 @@ ASCII_WORDS = r"[0-9A-Za-z_]+"
 
 
 
+def stem_sql(word: str) -> str:
+    """:func:`stem` as SQL text over a named column: one parsed expression in place of hundreds of calls."""
+    by_last: dict[str, str] = {}
+    for suffix, put in reversed(SUFFIX_RULES):
+        n = len(suffix)
+        cut = f"left({word}, length({word}) - {n})"
+        cut = f"concat({cut}, '{put}')" if put else cut
+        rest = by_last.get(suffix[-1], word)
+        by_last[suffix[-1]] = f"CASE WHEN endswith({word}, '{suffix}') AND length({word}) >= {n + 2} THEN {cut} ELSE {rest} END"
+    cases = " ".join(f"WHEN '{letter}' THEN {rules}" for letter, rules in by_last.items())
+    return f"CASE right({word}, 1) {cases} ELSE {word} END"
+
+
 def stem(word: Column) -> Column:
     """The first rule whose suffix leaves two characters or more; else the word.  ``word`` is lower case.
 
@@ -87,6 +100,8 @@ class Analyzer:
 
     words: Callable[[Column], Column]
     finish: Callable[[Column], Column] | None = None
+    #: ``finish`` as SQL text over a named column.
+    finish_sql: Callable[[str], str] | None = None
 
     def __call__(self, text: Column) -> Column:
         found = self.words(text)
@@ -122,13 +137,13 @@ def path(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("/")), parts).otherwise(standard(text))
 
 
-STANDARD = Analyzer(lambda c: tokens(c, WORDS), stem)
+STANDARD = Analyzer(lambda c: tokens(c, WORDS), stem, stem_sql)
 UNSTEMMED = Analyzer(lambda c: tokens(c, WORDS))
 #: Keeps dotted and underscored names whole.
 CODE_FRIENDLY = Analyzer(lambda c: tokens(c, CODE))
 KEYWORD = Analyzer(lambda c: F.filter(F.array(c), lambda x: x != ""))
 #: The command line's own: ASCII words.
-COMMAND_LINE = Analyzer(lambda c: tokens(c, ASCII_WORDS), stem)
+COMMAND_LINE = Analyzer(lambda c: tokens(c, ASCII_WORDS), stem, stem_sql)
 
 _ANALYZERS: dict[str, Analyzer] = {
     "default": STANDARD,

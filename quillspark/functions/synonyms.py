@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -110,8 +111,9 @@ def expand(term: Column, synonyms: Mapping[str, list[str]] | None = None) -> Col
     table = synonym_map() if synonyms is None else synonyms
     if not table:
         return F.array(F.lower(term))
-    entries = F.create_map(*(x for w, s in sorted(table.items()) for x in (F.lit(w), F.array(*map(F.lit, s)))))
-    return F.coalesce(entries[F.lower(term)], F.array(F.lower(term)))
+    # A constant, read once when the plan is made: a literal map of this size would slow every plan down.
+    entries = F.from_json(F.lit(json.dumps(table)), "map<string,array<string>>")
+    return F.coalesce(F.try_element_at(entries, F.lower(term)), F.array(F.lower(term)))
 
 
 def expand_terms(terms: Column, synonyms: Mapping[str, list[str]] | None = None) -> Column:

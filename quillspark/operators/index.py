@@ -86,13 +86,14 @@ def field_words(records: DataFrame, schema: Sequence[Field], doc_id: str = "doc_
 def postings_of(words: DataFrame, schema: Sequence[Field], positions: bool = True) -> DataFrame:
     """Postings from (doc_id, field, words): words are finished after they are exploded."""
     each = words.select("doc_id", "field", F.size("words").alias("doc_length"), F.posexplode("words").alias("position", "word"))
-    term = F.col("word")
+    term = "word"
     steps: dict = {}
     for f in schema:
-        if f.kind != STORED and (step := analyzer_of(f).finish):
-            steps.setdefault(step, []).append(f.name)
+        if f.kind != STORED and (step := analyzer_of(f).finish_sql):
+            steps.setdefault(step, []).append(f"'{f.name}'")
     for step, names in steps.items():
-        term = F.when(F.col("field").isin(names), step(F.col("word"))).otherwise(term)
+        term = f"CASE WHEN field IN ({', '.join(names)}) THEN {step('word')} ELSE {term} END"
+    term = F.expr(term)
     each = each.select("field", term.alias("term"), "doc_id", "doc_length", "position")
     found = [F.count("*").cast("int").alias("tf"), F.max("doc_length").alias("doc_length")]
     if positions:

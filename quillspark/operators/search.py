@@ -9,8 +9,9 @@ execution sees that they are small.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import analysis, ranking, synonyms
@@ -29,15 +30,23 @@ def query_terms(queries: DataFrame, index: Index, expand: bool = True, table: Ma
     Terms are distinct per field, in order; synonyms follow, sorted.  Which terms are
     base terms is told by the number of base terms of the body, in every field.
     """
-    text = F.trim(F.coalesce("text", F.lit("")))
-    base = {f.name: F.filter(F.array_distinct(analysis.analyze(f.analyzer)(text)), lambda t: t != "") for f in index.text_fields}
-    count = F.size(base["body"]) if "body" in base else F.lit(0)
-    rows = queries.filter(text != "").select("query_id", count.alias("base_count"), *(t.alias(n) for n, t in base.items()))
-    pairs = [F.struct(F.lit(n).alias("field"), (synonyms.expand_terms(F.col(n), table) if expand else F.col(n)).alias("terms")) for n in base]
-    each = rows.select("query_id", "base_count", F.explode(F.array(*pairs)).alias("f"))
+    names = [f.name for f in index.text_fields]
+    rows = queries.select("query_id", F.trim(F.coalesce("text", F.lit(""))).alias("text")).filter("text <> ''")
+    rows = rows.select("query_id", *(analysis.analyze(f.analyzer).words(F.col("text")).alias(f.name) for f in index.text_fields))
+    rows = rows.select("query_id", *(_finished(f).alias(f.name) for f in index.text_fields))
+    count = F.size("body") if "body" in names else F.lit(0)
+    pairs = [F.struct(F.lit(n).alias("field"), (synonyms.expand_terms(F.col(n), table) if expand else F.col(n)).alias("terms")) for n in names]
+    each = rows.select("query_id", count.alias("base_count"), F.explode(F.array(*pairs)).alias("f"))
     return each.select("query_id", "f.field", F.posexplode("f.terms").alias("term_idx", "term"), "base_count").select("query_id", "field", "term", "term_idx", (F.col("term_idx") < F.col("base_count")).alias("is_base"))
 
 
+def _finished(field) -> Column:
+    """A column of a field's query words as distinct terms."""
+    step = analysis.analyze(field.analyzer).finish_sql
+    done = f"transform(`{field.name}`, w -> {step('w')})" if step else f"`{field.name}`"
+    return F.expr(f"filter(array_distinct({done}), t -> t <> '')")
+
+
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(query_id, field, term, matched, df, distance): for base terms without a posting in their
     field, the nearest term of its vocabulary.
@@ -57,14 +66,19 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return found.filter("nth = 1").select("query_id", "field", "term", "matched", "df", "distance")
 
 
-def contributions(index: Index, terms: DataFrame, *, boosts: Mapping[str, float] | None = None, k1: float = ranking.K1, b: float = ranking.B, fuzzy: bool = False) -> DataFrame:
-    """(query_id, doc_id, field, term, contribution): what each term adds to a document's score."""
-    weights = {f.name: f.boost for f in index.text_fields} if boosts is None else boosts
-    weight = F.coalesce(*(F.when(F.col("field") == n, F.lit(float(w))) for n, w in weights.items()), F.lit(1.0))
+def resolve(index: Index, terms: DataFrame, fuzzy: bool = False) -> DataFrame:
+    """(query_id, field, term, matched, df, discount): what each query term stands for in the vocabulary."""
     known = index.vocabulary.join(terms, ["field", "term"]).select("query_id", "field", "term", F.col("term").alias("matched"), "df", F.lit(1.0).alias("discount"))
     if fuzzy:
         close = fuzzy_terms(terms, index.vocabulary)
         known = known.unionAll(close.select("query_id", "field", "term", "matched", "df", F.lit(ranking.FUZZY_DISCOUNT).alias("discount")))
+    return known
+
+
+def contributions(index: Index, known: DataFrame, *, boosts: Mapping[str, float] | None = None, k1: float = ranking.K1, b: float = ranking.B) -> DataFrame:
+    """(query_id, doc_id, field, term, contribution): what each resolved term adds to a document's score."""
+    weights = {f.name: f.boost for f in index.text_fields} if boosts is None else boosts
+    weight = F.coalesce(*(F.when(F.col("field") == n, F.lit(float(w))) for n, w in weights.items()), F.lit(1.0))
     hits = index.postings.select("field", F.col("term").alias("matched"), "doc_id", "tf", "doc_length").join(known, ["field", "matched"])
     hits = hits.join(F.broadcast(index.field_stats), "field")  # one row a field of the schema
     length = F.coalesce(F.when(F.col("doc_length") > 0, F.col("doc_length")), F.col("tf"))
@@ -73,9 +87,9 @@ def contributions(index: Index, terms: DataFrame, *, boosts: Mapping[str, float]
     return hits.select("query_id", "doc_id", "field", "term", value.alias("contribution"))
 
 
-def score(index: Index, terms: DataFrame, **options) -> DataFrame:
+def score(index: Index, terms: DataFrame, *, fuzzy: bool = False, **options) -> DataFrame:
     """(query_id, doc_id, score)."""
-    return contributions(index, terms, **options).groupBy("query_id", "doc_id").agg(F.sum("contribution").alias("score"))
+    return contributions(index, resolve(index, terms, fuzzy), **options).groupBy("query_id", "doc_id").agg(F.sum("contribution").alias("score"))
 
 
 def min_spans(positions: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,8 +123,11 @@ def phrase_rerank(index: Index, queries: DataFrame, scored: DataFrame, limit: in
         return scored
     cut = min(max(5 * limit, 50), 500)
     best = top(scored, cut).select("query_id", "doc_id")
-    words = analysis.analyze(body.analyzer)(F.trim(F.coalesce("text", F.lit(""))))
-    asked = queries.select("query_id", words.alias("w")).filter((F.size("w") >= 2) & (F.size(F.array_distinct("w")) == F.size("w")))
+    analyzer = analysis.analyze(body.analyzer)
+    asked = queries.select("query_id", analyzer.words(F.trim(F.coalesce("text", F.lit("")))).alias("w"))
+    if analyzer.finish_sql:
+        asked = asked.select("query_id", F.expr(f"transform(w, x -> {analyzer.finish_sql('x')})").alias("w"))
+    asked = asked.filter((F.size("w") >= 2) & (F.size(F.array_distinct("w")) == F.size("w")))
     asked = asked.select("query_id", F.size("w").alias("asked"), F.explode("w").alias("term"))
     body_postings = index.postings.filter("field = 'body'").select("term", "doc_id", "positions")
     held = body_postings.join(asked, "term").join(best, ["query_id", "doc_id"], "left_semi")
@@ -128,6 +145,35 @@ def search(index: Index, queries: DataFrame, k: int = 20, *, expand: bool = True
     return top(scored, max(k, 0)).select("query_id", "rank", "doc_id", "score")
 
 
+def ask(index: Index, queries: Mapping[int, str], k: int = 20, *, expand: bool = True, fuzzy: bool = True, phrase: bool = True, boosts: Mapping[str, float] | None = None) -> DataFrame:
+    """:func:`search` for a few queries at hand.
+
+    The queries' terms, bounded by their text, are resolved on the driver, so the steps
+    that nothing needs (typos, phrases) aren't planned, and a stored segment is read
+    by the terms alone.
+    """
+    spark = index.postings.sparkSession
+    table = spark.createDataFrame(list(queries.items()), "query_id int, text string")
+    terms = query_terms(table, index, expand).collect()
+    schema = "query_id int, field string, term string, term_idx int, is_base boolean"
+    asked = spark.createDataFrame(terms, schema)
+    wanted = sorted({t.term for t in terms})
+    narrow = replace(index, vocabulary=index.vocabulary.filter(F.col("term").isin(wanted)))
+    known = resolve(narrow, asked).collect()
+    held = {(r.query_id, r.field, r.term) for r in known}
+    if fuzzy and (lost := [t for t in terms if t.is_base and (t.query_id, t.field, t.term) not in held]):
+        close = fuzzy_terms(spark.createDataFrame(lost, schema), index.vocabulary)
+        known += close.select("query_id", "field", "term", "matched", "df", F.lit(ranking.FUZZY_DISCOUNT).alias("discount")).collect()
+    used = sorted({r.matched for r in known})
+    narrow = replace(index, postings=index.postings.filter(F.col("term").isin(used)))
+    rows = spark.createDataFrame(known, "query_id int, field string, term string, matched string, df bigint, discount double")
+    scored = contributions(narrow, rows, boosts=boosts).groupBy("query_id", "doc_id").agg(F.sum("contribution").alias("score"))
+    several = {t.query_id for t in terms if t.field == "body" and t.is_base and t.term_idx > 0}
+    if phrase and several:
+        scored = phrase_rerank(narrow, table, scored, k)
+    return top(scored, max(k, 0)).select("query_id", "rank", "doc_id", "score")
+
+
 def with_documents(ranked: DataFrame, documents: DataFrame, k: int | None = None) -> DataFrame:
     """Ranked rows with their stored fields; documents that aren't stored drop out."""
     return ranked.join(documents, "doc_id")

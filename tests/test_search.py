@@ -73,6 +73,15 @@ def test_fuzzy_and_phrase(spark):
     assert near[1, 1] == pytest.approx(plain[1, 1]) and (1, 1) in plain
 
 
+def test_ask_is_search(spark):
+    index = ix.build(spark.createDataFrame(corpus(7), DOCS), SCHEMA)
+    asked = {1: "routing servers", 2: "tokn cofig", 3: "auth", 4: "", 5: "zzzzzzzz"}
+    table = spark.createDataFrame(list(asked.items()), "query_id int, text string")
+    want = {(r.query_id, r["rank"], r.doc_id): r.score for r in se.search(index, table, 5).collect()}
+    assert {(r.query_id, r["rank"], r.doc_id): r.score for r in se.ask(index, asked, 5).collect()} == pytest.approx(want)
+    assert se.ask(index, {1: ""}, 5).count() == 0
+
+
 def test_min_span(spark):
     def span(**positions):
         rows = [(1, t, p) for t, ps in positions.items() for p in ps]
