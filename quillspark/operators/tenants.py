@@ -97,3 +97,18 @@ def labels(tenants: DataFrame) -> DataFrame:
     sections = F.array_distinct(F.filter(F.transform(prefixes, section), lambda s: s.isNotNull()))
     summary = F.concat_ws("; ", F.concat(F.col("display_name"), F.lit(" documentation")), F.array_join(hosts, ", "), F.array_join(sections, ", "))
     return tenants.select("*", hosts.alias("hosts"), sections.alias("sections"), summary.alias("summary"))
+
+
+def overlay(found: DataFrame, configured: DataFrame) -> DataFrame:
+    """Tenants on disk with what their configuration says; where there is one, others drop out.
+
+    Both have a ``codename``; columns of the configuration win where they aren't null.
+    """
+    both = sorted(set(found.columns) & set(configured.columns) - {"codename"})
+    only = [c for c in found.columns if c not in (*both, "codename")]
+    more = [c for c in configured.columns if c not in (*both, "codename")]
+    joined = found.alias("f").join(configured.alias("c"), "codename", "full")
+    some = configured.agg(F.count("*").alias("__some"))
+    rows = joined.select("codename", *(F.coalesce(f"c.{c}", f"f.{c}").alias(c) for c in both), *(F.col(f"f.{c}") for c in only), *(F.col(f"c.{c}") for c in more))
+    named = configured.select("codename", F.lit(True).alias("__named"))
+    return rows.crossJoin(some).join(named, "codename", "left").filter("__some = 0 OR __named").drop("__some", "__named")  # one row
