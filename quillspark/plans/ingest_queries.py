@@ -180,6 +180,16 @@ SQL = {
                array_to_string({_VERBS}, ' ') AS verbs
         FROM b""",
     "query_analyze": f"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^{_WORDCHARS}]+'), lambda x: x <> '' AND NOT list_contains({_STOPS}, x)), ' ') AS words FROM benchmark",
+    "url_slug": f"""WITH {_U}, s AS (SELECT page_id, url, lower(trim(translate({_PATH}, '-_', '  '))) AS p, regexp_extract(url, '#(.*)$', 1) AS ref FROM u),
+        g AS (SELECT page_id, url, CASE WHEN ref <> '' THEN trim(p || ' #' || lower(ref)) ELSE p END AS slug FROM s)
+        SELECT page_id, CASE WHEN slug <> '' THEN slug ELSE lower(url) END AS slug, regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([a-z]+://)[^/@]*@', '\1') AS prefix, regexp_matches({_PATH}, '{urls.ASSETS}') AS asset FROM g""",
+    "headings_extract": r"""WITH l AS (SELECT doc_id, list_transform(string_split('# ' || coalesce(text, ''), chr(10)), lambda x: trim(x)) AS ls FROM documents),
+        m AS (SELECT doc_id, ls, list_transform(ls, lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, '```')) AS ok FROM l),
+        f AS (SELECT doc_id, ls, ok, coalesce(list_position(ok, true), 0) AS p FROM m),
+        r AS (SELECT doc_id, ls[1] AS head, p, ls[p:] AS rest, coalesce(list_position(ok[p:], false), 0) AS stop FROM f)
+        SELECT doc_id, trim(regexp_replace(head[2:], '\s+', ' ', 'g')) AS h1,
+               CASE WHEN p = 0 THEN '' ELSE trim(regexp_replace(array_to_string(CASE WHEN stop > 0 THEN rest[:stop - 1] ELSE rest END, ' '), '\s+', ' ', 'g'))[:320] END AS excerpt
+        FROM r""",
     "dedupe_canonical": f"WITH {_U} SELECT lower({_CANON}) AS key, min(page_id) AS page_id FROM u GROUP BY 1",
     "corpus_fingerprint": "WITH d AS (SELECT source, doc_id, sha256(coalesce(text, '')) AS h FROM documents) SELECT source, count(*) AS documents, sha256(string_agg(doc_id::VARCHAR || ':' || h, chr(10) ORDER BY doc_id, h)) AS fingerprint FROM d GROUP BY source",
     "orphan_audit": "SELECT source, count(*) AS orphans FROM documents ANTI JOIN labels USING (doc_id) GROUP BY source",

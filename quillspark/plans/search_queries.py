@@ -177,6 +177,19 @@ _EXPANDED = f"""syn(w, s) AS (VALUES {_SYN}),
         fq AS (SELECT query_id, field, term, term_idx, is_base FROM allq, (VALUES ('title'), ('body')) AS f(field))"""
 _ONE = "one AS (SELECT query_id, term, term_idx, 'body' AS field FROM qbase)"
 
+_FUZZY = """
+        miss AS (SELECT query_id, field, term, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS e FROM fq ANTI JOIN voc USING (field, term) WHERE is_base),
+        pairs AS (SELECT query_id, miss.field, miss.term, voc.term AS matched, df, levenshtein(miss.term, voc.term) AS distance, e FROM miss JOIN voc ON voc.field = miss.field AND e > 0 AND abs(length(miss.term) - length(voc.term)) <= e),
+        close AS (SELECT query_id, field, term, matched, df, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id, field, term ORDER BY distance, matched) AS r FROM pairs WHERE distance <= e) WHERE r = 1)"""
+_PHRASE = """btoks AS (SELECT doc_id, pos, term FROM toks WHERE field = 'body'),
+        cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM scored) WHERE r <= 50),
+        sizes AS (SELECT query_id, count(*) AS c, count(DISTINCT term) AS d FROM qtok GROUP BY ALL HAVING count(*) >= 2 AND count(*) = count(DISTINCT term)),
+        hits AS (SELECT query_id, doc_id, term, pos, c FROM cand JOIN sizes USING (query_id) JOIN qbase USING (query_id) JOIN btoks USING (doc_id, term)),
+        whole AS (SELECT query_id, doc_id FROM hits GROUP BY query_id, doc_id, c HAVING count(DISTINCT term) = c),
+        ends AS (SELECT h.query_id, h.doc_id, h.pos, h.c, q.term, max(g.pos) AS last FROM hits h SEMI JOIN whole w USING (query_id, doc_id) JOIN qbase q ON q.query_id = h.query_id LEFT JOIN hits g ON g.query_id = h.query_id AND g.doc_id = h.doc_id AND g.term = q.term AND g.pos <= h.pos GROUP BY h.query_id, h.doc_id, h.pos, h.c, q.term),
+        spans AS (SELECT query_id, doc_id, c, min(s) AS span FROM (SELECT query_id, doc_id, pos, c, pos - min(last) + 1 AS s FROM ends GROUP BY query_id, doc_id, pos, c HAVING count(last) = c) GROUP BY query_id, doc_id, c),
+        boosted AS (SELECT query_id, doc_id, score * CASE WHEN span IS NULL THEN 1.0 WHEN span <= c THEN 1.5 WHEN span / c >= 3 THEN 1.0 ELSE greatest(1.0, 1.5 - (span / c - 1) * 0.25) END AS score FROM scored LEFT JOIN spans USING (query_id, doc_id))"""
+
 SQL = {
     "tokenize_standard": f"WITH {sql.tokens('documents', _BODY_SQL)} SELECT d.doc_id, coalesce(t.terms, '') AS terms FROM documents d LEFT JOIN (SELECT doc_id, string_agg(term, ' ' ORDER BY pos) AS terms FROM toks GROUP BY doc_id) t USING (doc_id)",
     "tokenize_code": f"SELECT doc_id, array_to_string({sql.words('coalesce(text, ' + chr(39) * 2 + ')', '[\\p{L}\\p{N}_]+([._][\\p{L}\\p{N}_]+)*')}, ' ') AS terms FROM documents",
@@ -189,21 +202,17 @@ SQL = {
     "bm25_batch_queries": f"WITH {sql.tokens('documents', _BODY_SQL)}, {_POST}, q AS (SELECT item_id AS query_id, text FROM benchmark), qraw AS (SELECT query_id, {sql.words('text')} AS w FROM q), one AS (SELECT DISTINCT query_id, {sql.stem('t')} AS term, 'body' AS field FROM (SELECT query_id, unnest(w) AS t FROM qraw)) {_ranked(_scored('one'), 5)}",
     "bm25_legacy_body": f"WITH {sql.tokens('documents', _BODY_SQL)}, {_POST}, {_Q}, {_QDIST}, {_ONE} {_ranked('SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (len / avg_len))))) AS score FROM one JOIN post USING (term, field) JOIN voc USING (term, field) JOIN stat USING (field) JOIN lens USING (doc_id, field) GROUP BY ALL', 10)}",
     "synonym_expand": f"WITH {_Q}, {_QDIST}, {_EXPANDED} SELECT query_id, field, term, term_idx, is_base FROM fq",
-    "fuzzy_best_match": f"""WITH {sql.tokens('documents', _TWO_SQL)}, {_POST}, {_Q}, {_QDIST}, {_EXPANDED},
-        miss AS (SELECT query_id, field, term, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS e FROM fq ANTI JOIN voc USING (field, term) WHERE is_base),
-        pairs AS (SELECT query_id, miss.field, miss.term, voc.term AS matched, df, levenshtein(miss.term, voc.term) AS distance, e FROM miss JOIN voc ON voc.field = miss.field AND e > 0 AND abs(length(miss.term) - length(voc.term)) <= e)
-        SELECT query_id, field, term, matched, df, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id, field, term ORDER BY distance, matched) AS r FROM pairs WHERE distance <= e) WHERE r = 1""",
+    "fuzzy_best_match": f"WITH {sql.tokens('documents', _TWO_SQL)}, {_POST}, {_Q}, {_QDIST}, {_EXPANDED}, {_FUZZY} SELECT query_id, field, term, matched, df, distance FROM close",
+    "search_full": f"""WITH {sql.tokens('documents', _TWO_SQL)}, {_POST}, {_Q}, {_QDIST}, {_EXPANDED}, {_FUZZY},
+        resolved AS (SELECT query_id, field, term, 1.0 AS discount FROM fq UNION ALL SELECT query_id, field, matched, 0.8 FROM close),
+        scored AS ({_scored('resolved', "CASE field WHEN 'title' THEN 2.5 ELSE 1.0 END * discount").replace('x.query_id, post.doc_id', 'x.query_id, x.discount, post.doc_id').replace('SELECT query_id, doc_id, sum', 'SELECT query_id, doc_id, sum')}),
+        {_PHRASE}
+        {_ranked('SELECT * FROM boosted', 10)}""",
     "phrase_min_span": f"WITH {sql.tokens('documents', _BODY_SQL)}, a AS (SELECT doc_id, pos FROM toks WHERE term = 'mit'), b AS (SELECT doc_id, pos FROM toks WHERE term = 'license') SELECT doc_id, min(abs(a.pos - b.pos)) + 1 AS span FROM a JOIN b USING (doc_id) GROUP BY doc_id",
     "vocab_prefilter": f"WITH {sql.tokens('documents', _BODY_SQL)}, {_Q}, {_QDIST} SELECT query_id, term, term_idx FROM qbase SEMI JOIN toks USING (term)",
     "phrase_rerank": f"""WITH {sql.tokens('documents', _BODY_SQL)}, {_POST}, {_Q}, {_QDIST}, {_ONE},
         scored AS ({_scored('one')}),
-        cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM scored) WHERE r <= 50),
-        sizes AS (SELECT query_id, count(*) AS c, count(DISTINCT term) AS d FROM qtok GROUP BY ALL HAVING count(*) >= 2 AND count(*) = count(DISTINCT term)),
-        hits AS (SELECT query_id, doc_id, term, pos, c FROM cand JOIN sizes USING (query_id) JOIN qbase USING (query_id) JOIN toks USING (doc_id, term)),
-        whole AS (SELECT query_id, doc_id FROM hits GROUP BY query_id, doc_id, c HAVING count(DISTINCT term) = c),
-        ends AS (SELECT h.query_id, h.doc_id, h.pos, h.c, q.term, max(g.pos) AS last FROM hits h SEMI JOIN whole w USING (query_id, doc_id) JOIN qbase q ON q.query_id = h.query_id LEFT JOIN hits g ON g.query_id = h.query_id AND g.doc_id = h.doc_id AND g.term = q.term AND g.pos <= h.pos GROUP BY h.query_id, h.doc_id, h.pos, h.c, q.term),
-        spans AS (SELECT query_id, doc_id, c, min(s) AS span FROM (SELECT query_id, doc_id, pos, c, pos - min(last) + 1 AS s FROM ends GROUP BY query_id, doc_id, pos, c HAVING count(last) = c) GROUP BY query_id, doc_id, c),
-        boosted AS (SELECT query_id, doc_id, score * CASE WHEN span IS NULL THEN 1.0 WHEN span <= c THEN 1.5 WHEN span / c >= 3 THEN 1.0 ELSE greatest(1.0, 1.5 - (span / c - 1) * 0.25) END AS score FROM scored LEFT JOIN spans USING (query_id, doc_id))
+        {_PHRASE}
         {_ranked('SELECT * FROM boosted', 10)}""",
     "federated_search": f"""WITH raw AS (SELECT doc_id, source AS tenant, {sql.words('lower(coalesce(text, ' + chr(39) * 2 + '))', '[0-9A-Za-z_]+')} AS w FROM documents),
         post AS (SELECT tenant, doc_id, term, count(*) AS tf FROM (SELECT tenant, doc_id, {sql.stem('t')} AS term FROM (SELECT tenant, doc_id, unnest(w) AS t FROM raw)) GROUP BY ALL),
