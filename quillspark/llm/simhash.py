@@ -24,6 +24,7 @@ Repeated rows each give a row.  An empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -164,7 +165,11 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
 
 WIDE, BLOCK = 16, 16
 SIMILARITY = 0.8
-_CHUNK, _SMALL, _NEAR = 4096, 32, 20
+#: Rows of a large bucket taken together, rows of a small one, and the most differing bits of two
+#: sketches, a fingerprint's first 128 bits: at a similarity of 0.8 they differ in 19, 28 lie 2.2 deviations above.
+_CHUNK, _SMALL, _NEAR = 4096, 32, 28
+#: By table: all bits set in the sketch's blocks from that table on.
+_LATER = np.array([[sum(0xFFFF << (16 * (b % 4)) for b in range(4 * w, 4 * w + 4) if b >= t) for w in (0, 1)] for t in range(9)], np.uint64)
 _MIXES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -205,7 +210,7 @@ def differing_bits(similarity: float, bits: int = 64 * WIDE) -> int:
 
 
 def _keyed(distinct: DataFrame, similarity: float) -> DataFrame:
-    """(key, id, sketch): a row per block, for each class of lengths that a text may meet.
+    """(key, id, s0, s1): a row per block, for each class of lengths that a text may meet.
 
     Texts of a similarity s have numbers of shingles within a factor s; classes are three
     such factors wide, and a text near its class's upper end is also in the next.
@@ -219,16 +224,16 @@ def _keyed(distinct: DataFrame, similarity: float) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             place = np.log(np.maximum(batch.column(1).to_numpy(zero_copy_only=False), 1)) / width
             fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(len(ids), -1)
-            sketch = fps[:, :4].copy().view("<u8").ravel() ^ fps[:, -4:].copy().view("<u8").ravel()
+            sketch = fps[:, :8].copy().view("<u8")
             level = np.floor(place).astype(np.uint64)
             for up in (0, 1):
                 at = np.arange(len(ids)) if not up else np.flatnonzero(place - np.floor(place) >= 2 / 3 - 1e-9)
                 blocks = fps[at].astype(np.uint64)
                 key = (np.arange(fps.shape[1], dtype=np.uint64) << np.uint64(48)) | ((level[at] + np.uint64(up))[:, None] << np.uint64(16)) | blocks
                 many = fps.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids[at], many)), pa.array(np.repeat(sketch[at], many).view(np.int64))], ["key", "id", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids[at], many)), *(pa.array(np.repeat(sketch[at, i], many).view(np.int64)) for i in (0, 1))], ["key", "id", "s0", "s1"])
 
-    return distinct.select("id", "n", "fp").mapInArrow(run, "key bigint, id bigint, sketch bigint")
+    return distinct.select("id", "n", "fp").mapInArrow(run, "key bigint, id bigint, s0 bigint, s1 bigint")
 
 
 def _bucket_pairs(keyed: DataFrame, near: int = _NEAR) -> DataFrame:
@@ -237,24 +242,38 @@ def _bucket_pairs(keyed: DataFrame, near: int = _NEAR) -> DataFrame:
     Small buckets give all such pairs, at most ``_SMALL`` a row.  Larger ones are streamed
     in parts of ``_CHUNK`` rows, each with a spanning forest whose roots join the next part:
     memory is bounded and the links are fewer than the rows, whatever the bucket's size.
+    Rows come by id and trees grow from the smallest, so that a large group's buckets all
+    link to the same few members.  Two rows that share one of the first eight blocks meet in
+    that block's table, not again in each later one.
     """
 
-    def forest(ids: np.ndarray, sketches: np.ndarray) -> tuple[list, np.ndarray]:
+    low, high = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000)
+
+    def meet(x: np.ndarray, y: np.ndarray, table) -> np.ndarray:
+        """Near, and not in a bucket of an earlier table together, as far as the sketch's eight blocks tell."""
+        differ = x ^ y
+        close = np.bitwise_count(differ).sum(axis=-1, dtype=np.int64) <= near
+        # A zero among the 16-bit lanes is a common block; the lanes of this table and later ones are set.
+        lanes = differ | _LATER[np.minimum(table, 8)]
+        common = ((lanes - low) & ~lanes & high).any(axis=-1)
+        return close & ~common
+
+    def forest(ids: np.ndarray, sketches: np.ndarray, table: int) -> tuple[list, np.ndarray]:
         pairs, rest, roots = [], np.arange(len(ids)), []
         while len(rest):
             roots.append(rest[0])
-            queue, rest = [rest[0]], rest[1:]
+            queue, rest = deque([rest[0]]), rest[1:]
             while queue and len(rest):
-                q = queue.pop()
-                hit = np.bitwise_count(sketches[rest] ^ sketches[q]) <= near
+                q = queue.popleft()
+                hit = meet(sketches[rest], sketches[q], table)
                 if hit.any():
                     found, rest = rest[hit], rest[~hit]
                     pairs += [(ids[q], ids[x]) for x in found]
-                    queue += found.tolist()
+                    queue.extend(found.tolist())
         return pairs, np.array(roots, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_key, kept = None, (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        kept_key, kept = None, (np.zeros(0, np.int64), np.zeros((0, 2), np.uint64))
 
         def out(pairs: list[np.ndarray]) -> pa.RecordBatch:
             both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
@@ -264,10 +283,11 @@ def _bucket_pairs(keyed: DataFrame, near: int = _NEAR) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, ids, sk = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            sk = sk.view(np.uint64)
+            key, ids, *halves = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            sk = np.stack(halves, axis=1).view(np.uint64)
             if kept_key is not None and key[0] == kept_key:
                 key, ids, sk = np.concatenate([np.full(len(kept[0]), kept_key), key]), np.concatenate([kept[0], ids]), np.concatenate([kept[1], sk])
+            table = (key.view(np.uint64) >> np.uint64(48)).astype(np.int64)
             starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
             sizes = np.diff(starts, append=len(key))
             pairs = []
@@ -276,23 +296,23 @@ def _bucket_pairs(keyed: DataFrame, near: int = _NEAR) -> DataFrame:
                 same = np.flatnonzero((key[d:] == key[:-d]) & small[d:]) if d < len(key) else []
                 if not len(same):
                     break
-                hit = same[np.bitwise_count(sk[same] ^ sk[same + d]) <= near]
+                hit = same[meet(sk[same], sk[same + d], table[same])]
                 pairs.append(np.stack([ids[hit], ids[hit + d]], axis=1))
             kept = (ids[starts[-1] :][-_SMALL:], sk[starts[-1] :][-_SMALL:])
             for i, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist()):
-                own_ids, own_sk = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+                own_ids, own_sk = ids[:0], sk[:0]
                 for j in range(i, i + n, _CHUNK):
-                    own_ids, own_sk = np.concatenate([own_ids, ids[j : min(j + _CHUNK, i + n)]]), np.concatenate([own_sk, sk[j : min(j + _CHUNK, i + n)]])
-                    found, roots = forest(own_ids, own_sk)
+                    part = slice(j, min(j + _CHUNK, i + n))
+                    own_ids, own_sk = np.concatenate([own_ids, ids[part]]), np.concatenate([own_sk, sk[part]])
+                    found, roots = forest(own_ids, own_sk, int(table[i]))
                     pairs.append(np.array(found, np.int64).reshape(-1, 2))
-                    roots = roots[-_CHUNK:]
-                    own_ids, own_sk = own_ids[roots], own_sk[roots]
+                    own_ids, own_sk = own_ids[roots[:_CHUNK]], own_sk[roots[:_CHUNK]]
                 if i == starts[-1]:
                     kept = (own_ids, own_sk)
             kept_key = key[-1]
             yield out(pairs)
 
-    return keyed.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+    return keyed.repartition(F.col("key")).sortWithinPartitions("key", "id").mapInArrow(run, "a bigint, b bigint")
 
 
 def similar_links(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
