@@ -54,7 +54,7 @@ SAMPLES, SEED = 2, 17
 #: The exponent of the pieces' weights: 1 keeps them, 0 makes all segmentations alike.
 ALPHA = 0.3
 #: Characters analysed together.
-BATCH = 2_000_000
+BATCH = 3_000_000
 _MARK = "▁"
 _BYTE0 = 3
 _FAR = 45.0
@@ -140,6 +140,7 @@ class Lattice:
     blocks: int
     first: np.ndarray  # by block: its first node
     edges: np.ndarray  # by node: its first edge; one more at the end
+    source: np.ndarray  # by edge: the node it starts from
     target: np.ndarray  # by edge: the node it leads to
     piece: np.ndarray  # by edge: its id; -1 - code point for a fallback to several bytes
     logp: np.ndarray  # by edge: log probability, given its start
@@ -216,12 +217,12 @@ def build_lattice(blocks: list[str], v: Vocabulary) -> Lattice:
         logp[a:b] = s
     np.exp(logp, out=chance)
     run = np.cumsum(chance)
-    of = np.repeat(np.arange(n), degree)
-    run -= np.repeat(np.concatenate([[0.0], run])[edges[:-1]], degree)
+    source = np.repeat(np.arange(n, dtype=np.int32), degree)
+    run -= np.concatenate([[0.0], run])[edges[:-1]][source]
     run[edges[1:][degree > 0] - 1] = 2
-    reach = np.full((n, v.longest), 2, np.float32)
-    reach[of, number] = run
-    return Lattice(len(blocks), node[first], edges, target, pieces, logp, reach)
+    reach = np.full(n * v.longest, 2, np.float32)
+    reach[source * np.int64(v.longest) + number] = run
+    return Lattice(len(blocks), node[first], edges, source, target, pieces, logp, reach.reshape(n, v.longest))
 
 
 # --- Walks and search -------------------------------------------------------------------------
@@ -303,7 +304,7 @@ def sample_batch(keys: np.ndarray, texts: list[list[str]], v: Vocabulary, k: int
     place = np.arange(total) - bounds[doc]
 
     def node_of(edge: np.ndarray) -> np.ndarray:
-        return np.searchsorted(lat.edges, edge, "right") - 1
+        return lat.source[edge]
 
     def free_chances(node: np.ndarray, taken: np.ndarray) -> np.ndarray:
         """[node, number]: the probabilities of a node's edges that aren't taken."""
