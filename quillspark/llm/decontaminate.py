@@ -27,11 +27,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns
+from .common import doc_columns, text_of
 
 #: Edits per character of an item that still count as the item.
 RATE = 0.08
@@ -125,28 +126,34 @@ def matches(text: str, found, items: dict[int, str], rate: float = RATE) -> dict
     return out
 
 
-def _blocks(items: list[tuple[int, str]], size: int) -> list[list[tuple[int, str]]]:
+def _blocks(items: list[tuple], size: int) -> list[list[tuple]]:
     out, used = [[]], 0
     for item in items:
-        if out[-1] and used + len(item[1]) > size:
+        if out[-1] and used + len(item[-1]) > size:
             out.append([])
             used = 0
         out[-1].append(item)
-        used += len(item[1])
+        used += len(item[-1])
     return out
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """(doc_id, item_id, edits, allowed, start, end): a row per document and item it
     holds; start and end count characters of the normalised text."""
-    rows = doc_columns(benchmark, ("item_id", "bigint"), ("text", "string")).toLocalIterator()
-    items = [(k, r["item_id"], normalised(r["text"])) for k, r in enumerate(rows)]
-    docs = doc_columns(docs, ("doc_id", "bigint"), ("text", "string"))
-    ids = {k: i for k, i, _ in items}
-    parts = [_find_block(docs, part, {k: ids[k] for k, _ in part}, rate) for part in _blocks([(k, t) for k, _, t in items if t], block)]
+    parts = []
+    for part in _item_blocks(benchmark, block):
+        ids = {k: i for k, i, _ in part}
+        parts.append(_find_block(doc_columns(docs, ("doc_id", "bigint"), ("text", "string")), [(k, t) for k, _, t in part], ids, rate))
     return reduce(DataFrame.unionAll, parts)
 
 
+def _item_blocks(benchmark: DataFrame, block: int) -> list[list[tuple[int, int, str]]]:
+    """(number, item_id, normalised text) of the items that have a word, in blocks; one block at least."""
+    rows = doc_columns(benchmark, ("item_id", "bigint"), ("text", "string")).toLocalIterator()
+    items = ((k, r["item_id"], normalised(r["text"])) for k, r in enumerate(rows))
+    return _blocks([x for x in items if x[2]], block)
+
+
 def _find_block(docs: DataFrame, part: list[tuple[int, str]], ids: dict[int, int], rate: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((part, ids))
 
@@ -164,7 +171,24 @@ def _find_block(docs: DataFrame, part: list[tuple[int, str]], ids: dict[int, int
     return docs.mapInArrow(run, "doc_id bigint, item_id bigint, edits int, allowed int, start bigint, end bigint")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents that hold no item, with all their columns; those without id stay."""
-    held = find_items(docs, benchmark, rate).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, docs["doc_id"].cast("bigint") == F.col("__held"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
+    """The documents that hold no item, with all their columns.
+
+    A document is judged where it is read: a filter for each block, no join.
+    """
+    for part in _item_blocks(benchmark, block):
+        if part:
+            docs = docs.filter(~_holds(docs, [(k, t) for k, _, t in part], rate)(text_of()))
+    return docs
+
+
+def _holds(docs: DataFrame, part: list[tuple[int, str]], rate: float):
+    shared = docs.sparkSession.sparkContext.broadcast(part)
+
+    @F.pandas_udf("boolean")
+    def holds(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        items, found = dict(shared.value), automaton(shared.value, rate)
+        for batch in texts:
+            yield batch.map(lambda t: bool(matches(normalised(t), found, items, rate))).astype(bool)
+
+    return holds

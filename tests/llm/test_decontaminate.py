@@ -81,7 +81,8 @@ def test_case_and_marks_dont_matter(spark):
     bench = spark.createDataFrame([(7, item, ""), (8, None, ""), (9, "...", ""), (None, "zzz zzz zzz", "")], ITEMS)
     rows = dc.find_items(docs, bench).collect()
     assert sorted((str(r.doc_id), r.item_id, r.edits) for r in rows) == [("1", 7, 0), ("4", 7, 0), ("None", 7, 0)]
-    assert sorted(r.doc_id for r in dc.drop_contaminated(docs, bench).collect() if r.doc_id) == [2, 3]
+    for block in (dc.BLOCK, 10):
+        assert sorted(r.doc_id for r in dc.drop_contaminated(docs, bench, block=block).collect()) == [2, 3]
 
 
 def test_empty(spark):
