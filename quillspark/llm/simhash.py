@@ -25,8 +25,8 @@ Repeated rows each give a row.  An empty table gives an empty table.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -167,7 +167,7 @@ WIDE, BLOCK = 16, 16
 SIMILARITY = 0.8
 #: Rows of a large bucket taken together, rows of a small one, and the most differing bits of two
 #: sketches, a fingerprint's first 128 bits: at a similarity of 0.8 they differ in 19, 28 lie 2.2 deviations above.
-_CHUNK, _SMALL, _NEAR = 4096, 32, 28
+_CHUNK, _SMALL, _NEAR = 4096, 8, 28
 #: By table: all bits set in the sketch's blocks from that table on.
 _LATER = np.array([[sum(0xFFFF << (16 * (b % 4)) for b in range(4 * w, 4 * w + 4) if b >= t) for w in (0, 1)] for t in range(9)], np.uint64)
 _MIXES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -236,15 +236,65 @@ def _keyed(distinct: DataFrame, similarity: float) -> DataFrame:
     return distinct.select("id", "n", "fp").mapInArrow(run, "key bigint, id bigint, s0 bigint, s1 bigint")
 
 
-def _bucket_pairs(keyed: DataFrame, near: int = _NEAR) -> DataFrame:
-    """(a, b): rows of a bucket whose sketches are near.
+class _Forest:
+    """Spanning forest of the rows of one bucket under a test, taken in parts.
 
-    Small buckets give all such pairs, at most ``_SMALL`` a row.  Larger ones are streamed
-    in parts of ``_CHUNK`` rows, each with a spanning forest whose roots join the next part:
-    memory is bounded and the links are fewer than the rows, whatever the bucket's size.
-    Rows come by id and trees grow from the smallest, so that a large group's buckets all
-    link to the same few members.  Two rows that share one of the first eight blocks meet in
-    that block's table, not again in each later one.
+    A part is searched breadth first from its first rows, then meets every earlier
+    row that isn't in its tree yet: the components are those of all pairs, and links
+    are fewer than rows.
+    """
+
+    def __init__(self, near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        self.near, self.held = near, []
+        #: By tree: the number of the tree that it has become part of.
+        self.root = np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
+        """The links of further rows, among them and to the earlier ones."""
+        pairs, rest, tree, trees = [], np.arange(len(ids)), np.zeros(len(ids), np.int64), len(self.root)
+        while len(rest):
+            queue, tree[rest[0]], rest = deque([rest[0]]), trees, rest[1:]
+            while queue and len(rest):
+                q = queue.popleft()
+                hit = self.near(rows[rest], rows[q])
+                if hit.any():
+                    found, rest = rest[hit], rest[~hit]
+                    tree[found] = trees
+                    pairs += [(ids[q], ids[x]) for x in found]
+                    queue.extend(found.tolist())
+            trees += 1
+        self.root = np.concatenate([self.root, np.arange(len(self.root), trees)])
+        for old_ids, old_rows, old_tree in self.held:
+            roots, old = self.root[tree], self.root[old_tree]
+            if (roots == roots[0]).all() and (old == roots[0]).all():
+                continue
+            for p in range(len(ids)):
+                root = self.root[tree[p]]
+                other = np.flatnonzero(old != root)
+                hit = other[self.near(old_rows[other], rows[p])] if len(other) else other
+                if len(hit):
+                    joined, first = np.unique(old[hit], return_index=True)
+                    pairs += [(old_ids[x], ids[p]) for x in hit[first]]
+                    self.root[np.isin(self.root, joined)] = root
+                    old = self.root[old_tree]
+        self.held.append((ids, rows, tree))
+        return pairs
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, each one's tree) of the trees of two rows or more."""
+        ids, roots = np.concatenate([x[0] for x in self.held]), self.root[np.concatenate([x[2] for x in self.held])]
+        many = np.bincount(roots)[roots] > 1
+        return ids[many], roots[many]
+
+
+def _bucket_groups(keyed: DataFrame, near: int = _NEAR) -> DataFrame:
+    """(g, h, id): groups of a bucket's rows that hold every two rows of near sketches.
+
+    Small buckets give each such pair as a group, under its two ids.  Larger ones give the
+    components by near sketches, under the bucket's key and the component's first id: what
+    is near by sketch only isn't a link, just a reason to compare the whole fingerprints.
+    Two rows that share one of the first eight blocks meet in that block's table, not again
+    in each later one: that table has tested the pair, or has both in one group.
     """
 
     low, high = np.uint64(0x0001000100010001), np.uint64(0x8000800080008000)
@@ -258,78 +308,96 @@ def _bucket_pairs(keyed: DataFrame, near: int = _NEAR) -> DataFrame:
         common = ((lanes - low) & ~lanes & high).any(axis=-1)
         return close & ~common
 
-    def forest(ids: np.ndarray, sketches: np.ndarray, table: int) -> tuple[list, np.ndarray]:
-        pairs, rest, roots = [], np.arange(len(ids)), []
-        while len(rest):
-            roots.append(rest[0])
-            queue, rest = deque([rest[0]]), rest[1:]
-            while queue and len(rest):
-                q = queue.popleft()
-                hit = meet(sketches[rest], sketches[q], table)
-                if hit.any():
-                    found, rest = rest[hit], rest[~hit]
-                    pairs += [(ids[q], ids[x]) for x in found]
-                    queue.extend(found.tolist())
-        return pairs, np.array(roots, np.int64)
+    def feed(forest: _Forest | None, key: int, ids: np.ndarray, sketches: np.ndarray) -> _Forest:
+        table = int(np.int64(key).view(np.uint64) >> np.uint64(48))
+        forest = forest or _Forest(lambda x, y: meet(x, y, table))
+        for j in range(0, len(ids), _CHUNK):
+            forest.add(ids[j : j + _CHUNK], sketches[j : j + _CHUNK])
+        return forest
+
+    def grouped(key: int, forest: _Forest) -> list[np.ndarray]:
+        """Rows (g, h, id) of a large bucket; a group of two goes under its ids, as in small buckets."""
+        ids, roots = forest.groups()
+        order = np.argsort(roots, kind="stable")
+        ids, roots = ids[order], roots[order]
+        starts = np.flatnonzero(np.diff(roots, prepend=-1))
+        sizes = np.diff(starts, append=len(ids))
+        first, last = np.repeat(ids[starts], sizes), np.repeat(ids[starts + sizes - 1], sizes)
+        pair = np.repeat(sizes == 2, sizes)
+        return [np.stack([np.where(pair, np.minimum(first, last), key), np.where(pair, np.maximum(first, last), first), ids], axis=1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_key, kept = None, (np.zeros(0, np.int64), np.zeros((0, 2), np.uint64))
-
-        def out(pairs: list[np.ndarray]) -> pa.RecordBatch:
-            both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-            both = np.unique(np.sort(both, axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, ids, *halves = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            sk = np.stack(halves, axis=1).view(np.uint64)
-            if kept_key is not None and key[0] == kept_key:
-                key, ids, sk = np.concatenate([np.full(len(kept[0]), kept_key), key]), np.concatenate([kept[0], ids]), np.concatenate([kept[1], sk])
-            table = (key.view(np.uint64) >> np.uint64(48)).astype(np.int64)
-            starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
-            sizes = np.diff(starts, append=len(key))
-            pairs = []
-            small = np.repeat(sizes <= _SMALL, sizes)
-            for d in range(1, _SMALL):
-                same = np.flatnonzero((key[d:] == key[:-d]) & small[d:]) if d < len(key) else []
-                if not len(same):
-                    break
-                hit = same[meet(sk[same], sk[same + d], table[same])]
-                pairs.append(np.stack([ids[hit], ids[hit + d]], axis=1))
-            kept = (ids[starts[-1] :][-_SMALL:], sk[starts[-1] :][-_SMALL:])
-            for i, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist()):
-                own_ids, own_sk = ids[:0], sk[:0]
-                for j in range(i, i + n, _CHUNK):
-                    part = slice(j, min(j + _CHUNK, i + n))
-                    own_ids, own_sk = np.concatenate([own_ids, ids[part]]), np.concatenate([own_sk, sk[part]])
-                    found, roots = forest(own_ids, own_sk, int(table[i]))
-                    pairs.append(np.array(found, np.int64).reshape(-1, 2))
-                    own_ids, own_sk = own_ids[roots[:_CHUNK]], own_sk[roots[:_CHUNK]]
-                if i == starts[-1]:
-                    kept = (own_ids, own_sk)
-            kept_key = key[-1]
-            yield out(pairs)
-
-    return keyed.repartition(F.col("key")).sortWithinPartitions("key", "id").mapInArrow(run, "a bigint, b bigint")
+        key, ids, sk = none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+        of = forest = None  # a large bucket that goes on
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                more, more_ids, *halves = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+                key, ids, sk = np.concatenate([key, more]), np.concatenate([ids, more_ids]), np.concatenate([sk, np.stack(halves, axis=1).view(np.uint64)])
+            rows = []
+            if forest:
+                n = int((key == of).sum())
+                feed(forest, of, ids[:n], sk[:n])
+                key, ids, sk = key[n:], ids[n:], sk[n:]
+                if batch is not None and not len(key):
+                    continue
+                rows += grouped(of, forest)
+                of = forest = None
+            if len(key):
+                starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+                # The last bucket may go on in the next batch.
+                end = len(key) if batch is None else int(starts[-1])
+                starts = starts[starts < end]
+                sizes = np.diff(starts, append=end)
+                table = (key.view(np.uint64) >> np.uint64(48)).astype(np.int64)
+                small = np.repeat(sizes <= _SMALL, sizes)
+                for d in range(1, _SMALL):
+                    same = np.flatnonzero((key[d:end] == key[: end - d]) & small[d:]) if d < end else []
+                    if not len(same):
+                        break
+                    hit = same[meet(sk[same], sk[same + d], table[same])]
+                    a, b = np.minimum(ids[hit], ids[hit + d]), np.maximum(ids[hit], ids[hit + d])
+                    rows += [np.stack([a, b, x], axis=1) for x in (a, b)]
+                for i, n in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist()):
+                    rows += grouped(int(key[i]), feed(None, key[i], ids[i : i + n], sk[i : i + n]))
+                key, ids, sk = key[end:], ids[end:], sk[end:]
+                if len(key) > _CHUNK:
+                    of, forest = int(key[0]), feed(None, key[0], ids, sk)
+                    key, ids, sk = none
+            every = np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, 3), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every[:, i]) for i in range(3)], ["g", "h", "id"])
+
+    return keyed.repartition(F.col("key")).sortWithinPartitions("key", "id").mapInArrow(run, "g bigint, h bigint, id bigint")
 
 
 def similar_links(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): pairs of ``distinct(id, n, fp)`` verified by the Hamming distance of whole fingerprints."""
-    pairs = _bucket_pairs(_keyed(distinct, similarity)).filter("a <> b").distinct()
+    """(a, b): links between rows of ``distinct(id, n, fp)``, each within the Hamming distance of whole
+    fingerprints, that connect all such rows of a group of :func:`_bucket_groups`."""
     bits = differing_bits(similarity)
-    left = distinct.select(F.col("id").alias("a"), F.col("fp").alias("fa"))
-    right = distinct.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = forest = None
         for batch in batches:
-            if batch.num_rows:
-                fa, fb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (2, 3))
-                keep = pa.array(np.bitwise_count(fa ^ fb).sum(axis=1, dtype=np.int64) <= bits)
-                yield batch.select(["a", "b"]).filter(keep)
+            if not batch.num_rows:
+                continue
+            g, h, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            fps = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(len(ids), -1)
+            starts = np.flatnonzero((np.diff(g, prepend=g[0] - 1) != 0) | (np.diff(h, prepend=h[0] - 1) != 0))
+            pairs = []
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+                if of != (g[i], h[i]):
+                    of, forest = (g[i], h[i]), _Forest(near)
+                for k in range(i, j, _CHUNK):
+                    pairs += forest.add(ids[k : min(k + _CHUNK, j)], fps[k : min(k + _CHUNK, j)])
+            ends = np.array(pairs, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a bigint, b bigint")
+    groups = _bucket_groups(_keyed(distinct, similarity)).distinct().join(distinct.select("id", "fp"), "id").select("g", "h", "id", "fp")
+    return groups.repartition(F.col("g"), F.col("h")).sortWithinPartitions("g", "h", "id").mapInArrow(run, "a bigint, b bigint")
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from quillspark.llm import simhash
@@ -171,3 +172,32 @@ def test_wide_bits():
     assert a[0] == 2 and len(a[1]) == 128
     assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" ") == (0, bytes(128))
     assert simhash.wide_fingerprint("a b") == simhash.wide_fingerprint(" A  b ")
+
+
+def bits_apart(a, b):
+    return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+
+
+def test_near_copies_in_a_templated_family(spark):
+    """Many texts share a passage at a similarity of 0.5 to 0.7; some have a true copy among them."""
+    rng = random.Random(12)
+    template, texts = [f"t{i}" for i in range(400)], []
+    for i in range(500):
+        own = [f"o{i}x{j}" for j in range(rng.randrange(80, 140))]
+        texts.append(template + own)
+        if i % 5 == 0:
+            copy = template + own
+            copy[rng.randrange(len(copy))] = "changed"
+            texts.append(copy)
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [" ".join(texts[i]) for i in order]
+    assert all(0.5 < jaccard(texts[0], t) < 0.75 for t in texts[1:50] if jaccard(texts[0], t) < 0.9)
+    fps = [simhash.wide_fingerprint(t)[1] for t in texts]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], DOCS)).collect()}
+    limit = simhash.differing_bits(simhash.SIMILARITY)
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if bits_apart(fps[a], fps[b]) <= limit and bits_apart(fps[a][:16], fps[b][:16]) <= simhash._NEAR]
+    shared = [(a, b) for a, b in near if any(fps[a][2 * i : 2 * i + 2] == fps[b][2 * i : 2 * i + 2] for i in range(64))]
+    assert len(shared) >= 95
+    assert [(a, b) for a, b in shared if got[a] != got[b]] == []
+    assert len(set(got.values())) > 300
