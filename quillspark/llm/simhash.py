@@ -24,6 +24,7 @@ Repeated rows each give a row.  An empty table gives an empty table.
 
 from __future__ import annotations
 
+import tempfile
 from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import chain, combinations
@@ -168,6 +169,8 @@ SIMILARITY = 0.8
 #: Rows of a large bucket taken together, rows of a small one, and the most differing bits of two
 #: sketches, a fingerprint's first 128 bits: at a similarity of 0.8 they differ in 19, 28 lie 2.2 deviations above.
 _CHUNK, _SMALL, _NEAR = 4096, 8, 28
+#: Rows of one bucket held in memory; further ones wait in a temporary file.
+_HELD = 1 << 18
 #: By table: all bits set in the sketch's blocks from that table on.
 _LATER = np.array([[sum(0xFFFF << (16 * (b % 4)) for b in range(4 * w, 4 * w + 4) if b >= t) for w in (0, 1)] for t in range(9)], np.uint64)
 _MIXES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -241,14 +244,32 @@ class _Forest:
 
     A part is searched breadth first from its first rows, then meets every earlier
     row that isn't in its tree yet: the components are those of all pairs, and links
-    are fewer than rows.
+    are fewer than rows.  Beyond ``_HELD`` rows earlier parts wait in a temporary file.
     """
 
     def __init__(self, near: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-        self.near, self.held = near, []
+        self.near, self.held, self.spilled, self.file = near, [], [], None
         #: By tree: the number of the tree that it has become part of.
         self.root = np.zeros(0, np.int64)
 
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, rows, trees) of what was added."""
+        yield from self.held
+        for at, n, width in self.spilled:
+            self.file.seek(at)
+            every = np.frombuffer(self.file.read(8 * n * (2 + width)), np.int64)
+            yield every[:n], every[2 * n :].view(np.uint64).reshape(n, width), every[n : 2 * n]
+
+    def _keep(self, ids: np.ndarray, rows: np.ndarray, tree: np.ndarray) -> None:
+        if sum(len(x[0]) for x in self.held) + len(ids) <= _HELD:
+            self.held.append((ids, rows, tree))
+            return
+        self.file = self.file or tempfile.TemporaryFile()
+        at = self.file.seek(0, 2)
+        for x in (ids, tree, rows):
+            self.file.write(np.ascontiguousarray(x).tobytes())
+        self.spilled.append((at, len(ids), rows.shape[1]))
+
     def add(self, ids: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
         """The links of further rows, among them and to the earlier ones."""
         pairs, rest, tree, trees = [], np.arange(len(ids)), np.zeros(len(ids), np.int64), len(self.root)
@@ -264,7 +285,7 @@ class _Forest:
                     queue.extend(found.tolist())
             trees += 1
         self.root = np.concatenate([self.root, np.arange(len(self.root), trees)])
-        for old_ids, old_rows, old_tree in self.held:
+        for old_ids, old_rows, old_tree in self.parts():
             roots, old = self.root[tree], self.root[old_tree]
             if (roots == roots[0]).all() and (old == roots[0]).all():
                 continue
@@ -277,12 +298,12 @@ class _Forest:
                     pairs += [(old_ids[x], ids[p]) for x in hit[first]]
                     self.root[np.isin(self.root, joined)] = root
                     old = self.root[old_tree]
-        self.held.append((ids, rows, tree))
+        self._keep(ids, rows, tree)
         return pairs
 
     def groups(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids, each one's tree) of the trees of two rows or more."""
-        ids, roots = np.concatenate([x[0] for x in self.held]), self.root[np.concatenate([x[2] for x in self.held])]
+        ids, roots = np.concatenate([x[0] for x in self.parts()]), self.root[np.concatenate([x[2] for x in self.parts()])]
         many = np.bincount(roots)[roots] > 1
         return ids[many], roots[many]
 

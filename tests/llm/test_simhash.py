@@ -201,3 +201,46 @@ def test_near_copies_in_a_templated_family(spark):
     assert len(shared) >= 95
     assert [(a, b) for a, b in shared if got[a] != got[b]] == []
     assert len(set(got.values())) > 300
+
+
+def flipped(fp, bits):
+    return bytes(x ^ y for x, y in zip(fp, sum(1 << b for b in bits).to_bytes(128, "little")))
+
+
+def test_late_rows_of_a_large_bucket_meet_all_earlier_ones(spark):
+    """9000 unlike rows share one block; late ones are near to an early row only, one of those inside a tree."""
+    rng = random.Random(6)
+    fps = [bytes(2) + rng.randbytes(126) for _ in range(9000)]
+    first, second = (list(range(16 + i, 128, 5)) + list(range(128 + i, 1024, 11)) for i in (0, 1))
+    fps[20] = flipped(fps[10], first)
+    fps[8800] = flipped(fps[20], second)
+    fps[8900] = flipped(fps[5000], first)
+    rows = spark.createDataFrame([(i, 100, f) for i, f in enumerate(fps)], "id bigint, n int, fp binary").repartition(8)
+    assert {tuple(sorted(r)) for r in simhash.similar_links(rows).collect()} == {(10, 20), (20, 8800), (5000, 8900)}
+
+
+def test_forest_against_brute_force(monkeypatch):
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 1 << 12, (700, 1)).astype(np.uint64)
+    near = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= 1
+    root = list(range(700))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(700):
+        for b in range(a):
+            if int(values[a, 0] ^ values[b, 0]).bit_count() <= 1:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = [find(i) for i in range(700)]
+    for held in (1 << 18, 100):
+        forest = simhash._Forest(near)
+        monkeypatch.setattr(simhash, "_HELD", held)
+        links = [x for j in range(0, 700, 37) for x in forest.add(np.arange(j, min(j + 37, 700)), values[j : j + 37])]
+        assert len(links) == 700 - len(set(want)) and all(int(values[a, 0] ^ values[b, 0]).bit_count() <= 1 for a, b in links)
+        assert {want[a] for a, b in links} == {want[b] for a, b in links} and all(want[a] == want[b] for a, b in links)
+        ids, trees = forest.groups()
+        assert len({(want[i], t) for i, t in zip(ids.tolist(), trees.tolist())}) == len(set(trees.tolist())) == sum(want.count(r) > 1 for r in set(want))
