@@ -30,12 +30,13 @@ from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, written
+from .common import doc_columns, text_of, written
 from .components import connected_components
 
 #: Words in a shingle, the hash's seed and the most differing bits, where no contract says otherwise.
@@ -421,26 +422,40 @@ def similar_links(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFr
     return groups.repartition(F.col("g"), F.col("h")).sortWithinPartitions("g", "h", "id").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row per document.
-
-    Rows without id link by equal fingerprints only.
-    """
+def _similar(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, fp) a row per document, and (fp, component_id, first) a row per fingerprint:
+    its component's smallest doc_id and smallest fingerprint."""
     each = written(wide_fingerprints(docs, shingle), "wide-fingerprints")
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
-    known = distinct.filter("id IS NOT NULL")
-    roots = connected_components(similar_links(known, similarity)).select(F.col("node").alias("id"), "root")
-    named = distinct.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    # Fingerprints have a number of their own, whether their documents have an id or not.
+    distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "distinct-fingerprints")
+    roots = connected_components(similar_links(distinct, similarity)).withColumnRenamed("node", "id")
+    linked = distinct.join(roots, "id").select("fp", "rep", "root")
+    whole = linked.groupBy("root").agg(F.min("rep").alias("least"), F.min("fp").alias("first"))
+    named = linked.join(whole, "root").select("fp", "least", "first")
+    return each, distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("first", "fp").alias("first"))
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row per document; null where no member has an id."""
+    each, named = _similar(docs, similarity, shingle)
     return each.join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """Of each group of :func:`similar_groups` the document with its smallest id, with all columns.
 
-    Documents without an id stay when their component has no id either.  Rows that
+    Of a group without any id one document of its smallest fingerprint stays.  Rows that
     share the id of the document that stays all stay.
     """
-    groups = similar_groups(docs, similarity, shingle)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id")).distinct()
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))))
-    return named.join(kept, "__id", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+    @F.pandas_udf("binary")
+    def whole(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: wide_fingerprint(t, shingle)[1])
+
+    each, named = _similar(docs, similarity, shingle)
+    kept = each.join(named, "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    known = docs.withColumn("__id", F.col("doc_id").cast("bigint")).join(kept, "__id", "left_semi")
+    alone = named.filter("component_id IS NULL AND fp = first").select(F.col("fp").alias("__fp"))
+    unknown = docs.filter(F.col("doc_id").cast("bigint").isNull()).withColumn("__fp", whole(text_of())).join(alone, "__fp", "left_semi").dropDuplicates(["__fp"])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return known.select(*columns).unionAll(unknown.select(*columns))

@@ -244,3 +244,17 @@ def test_forest_against_brute_force(monkeypatch):
         assert {want[a] for a, b in links} == {want[b] for a, b in links} and all(want[a] == want[b] for a, b in links)
         ids, trees = forest.groups()
         assert len({(want[i], t) for i, t in zip(ids.tolist(), trees.tolist())}) == len(set(trees.tolist())) == sum(want.count(r) > 1 for r in set(want))
+
+
+def test_near_copies_without_an_id(spark):
+    rng = random.Random(2)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(300)] for _ in range(3)]
+
+    def copy(g, i):
+        return " ".join([*base[g][:i], f"x{i}", *base[g][i + 1 :]])
+
+    rows = [(5, copy(0, 10), "a"), (None, copy(0, 20), "b"), (None, copy(1, 10), "c"), (None, copy(1, 20), "d"), (None, copy(1, 20).upper(), "e"), (None, copy(2, 10), "f")]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.similar_groups(docs).collect()) == [(-1, -1)] * 4 + [(-1, 5), (5, 5)]
+    kept = "".join(sorted(r.text2 for r in simhash.drop_near_copies(docs).collect()))
+    assert len(kept) == 3 and kept[0] == "a" and kept[1] in "cde" and kept[2] == "f"
