@@ -14,7 +14,8 @@ Items are taken in blocks of ``BLOCK`` characters: the automaton that goes to th
 executors has a proven size, however large the benchmark; each further block is one
 more pass.  A document's work grows with its own hits only; nothing is exchanged.
 
-Defined cases: a null or empty text holds nothing; items without a word, or a null,
+Defined cases: an item too short to differ counts where it is whole words, not inside
+of one; a null or empty text holds nothing; items without a word, or a null,
 match nothing; an item that occurs often in a document is one row, its best place.
 Repeated documents each give their rows, repeated items too (under each item_id).
 Empty tables give an empty table; extra columns are ignored.
@@ -116,6 +117,9 @@ def matches(text: str, found, items: dict[int, str], rate: float = RATE) -> dict
                 high = s
                 continue
             a, b = max(0, low - e), min(len(text), high + len(item) + e)
+            if not e and (text[max(0, a - 1) : a].strip() or text[b : b + 1].strip()):
+                low = high = s
+                continue
             distance, end = myers(item, text[a:b])
             if distance <= e and (best is None or distance < best[0]):
                 back, length = myers(item[::-1], text[a : a + end][::-1])

@@ -91,3 +91,12 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "a", "", "")], DOCS)
     assert dc.find_items(one, bench).count() == 0
     assert dc.drop_contaminated(one, bench).count() == 1
+
+
+def test_short_items_are_whole_words(spark):
+    texts = ["The end", "at the end", "see the", "the", "other end", "bathe", "theory", "other, but the end", "see, the-other", None]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(7, "The", ""), (8, "see the", "")], ITEMS)
+    rows = {(r.doc_id, r.item_id, r.edits, r.start, r.end) for r in dc.find_items(docs, bench).collect()}
+    assert rows == {(0, 7, 0, 0, 3), (1, 7, 0, 3, 6), (2, 7, 0, 4, 7), (2, 8, 0, 0, 7), (3, 7, 0, 0, 3), (7, 7, 0, 10, 13), (8, 7, 0, 4, 7), (8, 8, 0, 0, 7)}
+    assert sorted(r.doc_id for r in dc.drop_contaminated(docs, bench).collect()) == [4, 5, 6, 9]
