@@ -2,7 +2,8 @@
 
 * Features are indicators of n-grams (1 to 3) over word forms: a word's form is its
   runs of small letters, capitals, digits and each other character (with a mark for
-  doubled ones), and a word that repeats the one before has a form of its own.
+  doubled ones), and a word that repeats the one before has a form of its own; and of
+  n-grams (1 and 2) over the words themselves, in small letters.
 * Each indicator is scaled by its log-count ratio between the classes (naive Bayes),
   rows have length one, and a linear model with squared hinge loss is fitted to them
   by dual coordinate descent, the classes weighted to equal parts.
@@ -46,20 +47,17 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def form(word: str) -> str:
-    """At most six runs of a word: a, A, 0, x (other letters), or a sign, with + where it is doubled."""
-    out = []
-    for m in _RUN.finditer(word):
-        out.append("a" if m[1] else "A" if m[2] else "0" if m[3] else m[5] + "+" * (len(m[4]) > 1) if m[4] else "x")
-        if len(out) == 6:
-            break
-    return "".join(out)
+    """The runs of a word: a, A, 0, x (other letters), or a sign, with + where it is doubled."""
+    return "".join("a" if m[1] else "A" if m[2] else "0" if m[3] else m[5] + "+" * (len(m[4]) > 1) if m[4] else "x" for m in _RUN.finditer(word))
 
 
 class _Forms(dict):
+    """word -> hash of its form, 32 bits, and of itself in small letters, 32 bits."""
+
     def __missing__(self, word: str) -> int:
         if len(self) > 400_000:
             self.clear()
-        self[word] = found = zlib.crc32(form(word).encode())
+        self[word] = found = zlib.crc32(form(word).encode()) << 32 | zlib.crc32(word.lower().encode())
         return found
 
 
@@ -69,13 +67,15 @@ _forms = _Forms()
 def ngrams(text: str | None) -> np.ndarray:
     """The distinct n-gram hashes of a text, sorted."""
     words = (text or "").split()
-    ids = np.fromiter(map(_forms.__getitem__, words), np.uint64, len(words))
+    both = np.fromiter(map(_forms.__getitem__, words), np.uint64, len(words))
+    ids, own = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
     if len(words) > 1:
         ids[1:][np.fromiter((a == b for a, b in zip(words, words[1:])), bool, len(words) - 1)] = _SAME
     ids = np.concatenate([[np.uint64(1)], ids + np.uint64(3), [np.uint64(2)]])
     pairs = (ids[:-1] * _STEP) ^ (ids[1:] + np.uint64(1 << 40))
     triples = (pairs[:-1] * _STEP) ^ (ids[2:] + np.uint64(1 << 41))
-    return np.unique(np.concatenate([ids, pairs, triples]))
+    own_pairs = (own[:-1] * _STEP) ^ (own[1:] + np.uint64(1 << 43))
+    return np.unique(np.concatenate([ids, pairs, triples, own + np.uint64(1 << 42), own_pairs]))
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,7 @@ def fit_rows(grams: list[np.ndarray], labels: np.ndarray) -> Model:
     for g in grams:
         at = np.searchsorted(vocabulary, g)
         at[at == len(vocabulary)] = 0
-        places.append(at[vocabulary[at] == g])
+        places.append(at[vocabulary[at] == g].astype(np.int32))
     y = np.where(labels > 0, 1.0, -1.0)
     in_class = [np.bincount(np.concatenate([p for p, s in zip(places, y) if s == sign] or [np.zeros(0, int)]), minlength=len(vocabulary)) + _SMOOTH for sign in (1, -1)]
     ratio = np.log((in_class[0] / in_class[0].sum()) / (in_class[1] / in_class[1].sum()))
@@ -173,14 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = named.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = doc_columns(docs, ("doc_id", "bigint"), ("text", "string")).join(F.broadcast(chosen), "doc_id").select("doc_id", text_of().alias("text"), "quality")
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf("binary")
     def grams(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: ngrams(t).view(np.int64))
+        return text.map(lambda t: ngrams(t).tobytes())
 
     # Of repeated rows one counts, whichever order they come in.
     got = texts.select("doc_id", "quality", grams("text").alias("g")).toArrow()
-    keys = sorted({(i, q, tuple(g)) for i, q, g in zip(*(got.column(c).to_pylist() for c in ("doc_id", "quality", "g")))})
-    return fit_rows([np.array(g, np.int64).view(np.uint64) for _, _, g in keys], np.array([q for _, q, _ in keys]))
+    keys = sorted({(i.as_py(), q.as_py(), g.as_py()) for i, q, g in zip(*(got.column(c) for c in ("doc_id", "quality", "g")))})
+    del got
+    return fit_rows([np.frombuffer(g, np.uint64) for _, _, g in keys], np.array([q for _, q, _ in keys]))
 
 
 def score(model: Model, text: Column) -> Column:

@@ -78,3 +78,14 @@ def test_repeated_rows_change_nothing(spark):
     twice = docs.unionAll(docs)
     a = {(r.doc_id, r.score) for r in q.score_documents(docs, labels).collect()}
     assert {(r.doc_id, r.score) for r in q.score_documents(twice, labels.unionAll(labels)).collect()} == a
+
+
+def test_all_runs_and_the_words_count(spark):
+    assert q.form("a1" * 50) == "a0" * 50
+    rng = random.Random(5)
+    words = lambda some: " ".join(rng.choice(some) for _ in range(30))
+    texts = [words(["clear", "proof", "theorem"] if i % 2 else ["casino", "bonus", "jackpot"]) for i in range(120)]
+    docs = spark.createDataFrame([(i, t, 0.0, 0) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2, "x") for i in range(120)], LABELS)
+    rows = q.score_documents(docs, labels).collect()
+    assert any(r.held_out for r in rows) and all(r.predicted == r.doc_id % 2 for r in rows)
