@@ -22,6 +22,12 @@ row of blocks; each distinct block of a batch is analysed once and all walks of
 batch go forward together.  Random numbers are a hash of the row's key, the sample,
 the block and the step: a row's samples depend on neither batch nor partition.
 
+Memory is bounded by ``BATCH`` characters a lattice, whatever a text's length.  A block
+of more than ``BLOCK`` characters is divided where no piece holds the two characters
+that meet; only where ``BLOCK`` more characters have no such place, a piece's edge is forced.
+A long text's search sees its head alone, as many blocks as leave every further
+node a mass below e^-90; all behind it is drawn block by block, in parts.
+
 As in the model, spaces are written as U+2581 with one in front, and characters
 without a piece fall back to bytes.  Decoding gives the text back (U+2581 itself as a
 space).
@@ -53,12 +59,11 @@ from .common import doc_columns
 SAMPLES, SEED = 2, 17
 #: The exponent of the pieces' weights: 1 keeps them, 0 makes all segmentations alike.
 ALPHA = 0.3
-#: Characters analysed together.
-BATCH = 3_000_000
+#: Characters analysed together, and characters of a block.
+BATCH, BLOCK = 200_000, 2048
 _MARK = "▁"
 _BYTE0 = 3
 _FAR = 45.0
-_ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def default_model() -> str:
@@ -70,14 +75,17 @@ def default_model() -> str:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces by id as bytes, and an open hash table of all pieces and their prefixes."""
+    """Pieces by id as bytes, and their tree of characters: an open hash table from
+    (node, character), both in full, to the child."""
 
     raw: tuple[bytes, ...]
-    slots: np.ndarray
-    ids: np.ndarray
-    single: np.ndarray  # by code point: -2 no piece starts so, -1 only longer ones do, else the id
+    slots: np.ndarray  # node << 21 | code point; 0 for a free slot
+    child: np.ndarray  # by slot: the child
+    piece: np.ndarray  # by node: its piece's id, or -1
+    single: np.ndarray  # by code point: the node of that character alone, or 0
     longest: int
     lone_newline: bool
+    pairs: frozenset[str]  # neighbouring characters of all pieces
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -88,29 +96,28 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def build_vocabulary(pieces: list[str], special: set[int]) -> Vocabulary:
     """``special``: ids that stand for no text (control, unknown and byte pieces)."""
-    ids: dict[str, int] = {}
-    for i, p in enumerate(pieces):
-        if i not in special:
-            for n in range(1, len(p)):
-                ids.setdefault(p[:n], -1)
-            ids[p] = i
-    size = 1 << (4 * len(ids)).bit_length()
-    slots, values = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
-    for p, i in ids.items():
-        h = np.zeros(1, np.uint64)
-        for c in p:
-            h = h * _ROLL + np.uint64(ord(c) + 1)
-        at = int(_mix(h)[0]) & (size - 1)
-        while slots[at]:
-            at = (at + 1) & (size - 1)
-        slots[at], values[at] = h[0], i
-    single = np.full(0x110000, -2, np.int32)
-    for p, i in ids.items():
+    known = {p: i for i, p in enumerate(pieces) if i not in special}
+    nodes = {p[:n]: 0 for p in known for n in range(1, len(p) + 1)}
+    nodes = {p: i for i, p in enumerate(nodes, 1)}
+    longest = -(-max(map(len, known)) // 8) * 8
+    if longest > 56:
+        raise ValueError("a piece has 56 characters at most: a node's edges are bits of a long")
+    size = 1 << (4 * len(nodes)).bit_length()
+    slots, child = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+    single = np.zeros(0x110000, np.int32)
+    for p, i in nodes.items():
         if len(p) == 1:
             single[ord(p)] = i
+            continue
+        key = np.array([nodes[p[:-1]] << 21 | ord(p[-1])], np.uint64)
+        at = int(_mix(key)[0]) & (size - 1)
+        while slots[at]:
+            at = (at + 1) & (size - 1)
+        slots[at], child[at] = key[0], i
     raw = [b"" if i in special else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
     raw[_BYTE0 : _BYTE0 + 256] = [bytes([b]) for b in range(256)]
-    return Vocabulary(tuple(raw), slots, values, single, -(-max(len(p) for p in ids) // 8) * 8, not any("\n" in p for p in ids))
+    pairs = frozenset(p[i : i + 2] for p in known for i in range(len(p) - 1))
+    return Vocabulary(tuple(raw), slots, child, np.array([-1, *(known.get(p, -1) for p in nodes)], np.int32), single, longest, not any("\n" in p for p in known), pairs)
 
 
 def load_vocabulary(model_file: str) -> Vocabulary:
@@ -159,20 +166,19 @@ def build_lattice(blocks: list[str], v: Vocabulary) -> Lattice:
     wide = len(v.slots) - 1
     logs = -ALPHA * np.log(np.maximum(np.arange(len(v.raw)) - 257, 2.0))
     place = order[len(blocks) :]  # in the nodes' order, which every step keeps
-    ids = v.single[code[place]]
+    tree = v.single[code[place]]
+    ids = v.piece[tree]
     bare = ids < 0
     chars = code[place[bare]].astype(np.int32)
     piece, score = ids.copy(), logs[np.maximum(ids, 0)]
     piece[bare] = np.where(chars < 0x80, _BYTE0 + chars, -1 - chars)
     score[bare] = logs[-1] * (1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF))
     found_at = [(place, piece, score)]
-    place = place[ids > -2]
-    ids = code.astype(np.uint64) + np.uint64(1)
-    h = ids[place]
+    place, tree = place[tree > 0], tree[tree > 0]
     for k in range(1, v.longest):
         inside = left[place] > k
         place = place[inside]
-        h = h[inside] * _ROLL + ids[place + k]
+        h = tree[inside].astype(np.uint64) << np.uint64(21) | code[place + k]
         at = _mix(h).astype(np.int64) & wide
         key = v.slots[at]
         found = key == h
@@ -183,11 +189,12 @@ def build_lattice(blocks: list[str], v: Vocabulary) -> Lattice:
             hit = key == h[open_]
             found[open_[hit]] = True
             open_ = open_[~hit & (key != 0)]
-        place, h, at = place[found], h[found], v.ids[at[found]]
+        place, tree = place[found], v.child[at[found]]
         if not len(place):
             break
-        real = at >= 0
-        found_at.append((place[real], at[real], logs[at[real]]))
+        ids = v.piece[tree]
+        real = ids >= 0
+        found_at.append((place[real], ids[real], logs[ids[real]]))
     degree = np.zeros(n, np.int32)
     nth = []
     for place, _, _ in found_at:
@@ -289,6 +296,11 @@ def _truncated(g: np.ndarray, most: np.ndarray) -> np.ndarray:
     return most - np.log1p(np.exp(np.minimum(most - g, 700.0)))
 
 
+def _states(keys: np.ndarray, place: np.ndarray, sample: int) -> np.ndarray:
+    """The first random word of blocks' walks, by row key and the block's place in the text."""
+    return _mix((keys + np.uint64(0x1000193 * (sample + 1))) ^ _mix(place.astype(np.uint64) + np.uint64(1)))
+
+
 def sample_batch(keys: np.ndarray, texts: list[list[str]], v: Vocabulary, k: int):
     """Yield per sample (texts that have it, ids of all edges, text bounds in edges, log p, perturbed), and at last the thresholds."""
     counts = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -313,7 +325,7 @@ def sample_batch(keys: np.ndarray, texts: list[list[str]], v: Vocabulary, k: int
         return np.where(real, np.exp(lat.logp[np.minimum(edge, len(lat.logp) - 1)]), 0.0)
 
     def states(block: np.ndarray, sample: int) -> np.ndarray:
-        return _mix((keys[doc[block]] + np.uint64(0x1000193 * (sample + 1))) ^ _mix(place[block].astype(np.uint64) + np.uint64(1)))
+        return _states(keys[doc[block]], place[block], sample)
 
     pool: list[dict] = []
     walks: list[Walks] = []
@@ -396,7 +408,22 @@ def blocks_of(text: str | None, v: Vocabulary) -> list[str]:
     if not text:
         return []
     marked = _MARK + text.replace(" ", _MARK)
-    return (_LINES if v.lone_newline else _PLAIN).findall(marked)
+    found = (_LINES if v.lone_newline else _PLAIN).findall(marked)
+    if max(map(len, found)) <= BLOCK:
+        return found
+    return [part for block in found for part in ((block,) if len(block) <= BLOCK else _parts(block, v.pairs))]
+
+
+def _parts(block: str, pairs: frozenset[str]) -> Iterator[str]:
+    """A long block in parts, cut where two characters meet that no piece holds together."""
+    at = 0
+    while len(block) - at > BLOCK:
+        end = at + BLOCK
+        cut = next((i for i in range(end, min(end + BLOCK, len(block))) if block[i - 1 : i + 1] not in pairs), min(end + BLOCK, len(block)))
+        yield block[at:cut]
+        at = cut
+    if at < len(block):
+        yield block[at:]
 
 
 _PLAIN = re.compile(f"{_MARK}*[^{_MARK}]+|{_MARK}+")
@@ -407,21 +434,67 @@ def _row_key(doc_id: int | None) -> int:
     return xxhash.xxh64_intdigest(f"{doc_id}".encode(), SEED)
 
 
+def _split(blocks: list[str], most: int) -> tuple[list[str], list[str]]:
+    """The first blocks, of ``most`` characters together (one at least), and the others."""
+    size = 0
+    for i, b in enumerate(blocks):
+        size += len(b)
+        if size > most and i:
+            return blocks[:i], blocks[i:]
+    return blocks, []
+
+
+def _bytes_for(ids: np.ndarray) -> np.ndarray:
+    """Piece ids, with the byte pieces in place of characters that have none."""
+    if not len(ids) or ids.min() >= 0:
+        return ids
+    return np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else [_BYTE0 + b for b in chr(-1 - i).encode()])], np.int32)
+
+
+def _drawn(key: int, blocks: list[str], place: int, samples: list[int], v: Vocabulary) -> list[tuple[np.ndarray, float]]:
+    """Of every sample (ids, log p) of blocks behind a text's head, ``place`` blocks into the text."""
+    out: list[list] = [[[], 0.0] for _ in samples]
+    while blocks:
+        part, blocks = _split(blocks, BATCH)
+        numbers = {b: i for i, b in enumerate(dict.fromkeys(part))}
+        lat = build_lattice(list(numbers), v)
+        begin = lat.first[np.fromiter(map(numbers.__getitem__, part), np.int64, len(part))]
+        every = np.arange(len(part))
+        for sample, found in zip(samples, out):
+            walk = _placed(len(part), *_walk(lat, every, begin, _states(np.full(len(part), key, np.uint64), every + place, sample)))
+            found[0].append(_bytes_for(lat.piece[walk.edge]))
+            found[1] += float(lat.logp[walk.edge].sum())
+        place += len(part)
+    return [(np.concatenate(ids) if ids else np.zeros(0, np.int32), logp) for ids, logp in out]
+
+
 def sample_texts(ids: list[int | None], texts: list[str | None], v: Vocabulary, k: int = SAMPLES) -> list[tuple]:
     """(row, rank, ids, log p, perturbed, inclusion) of every sample."""
     keys = np.fromiter(map(_row_key, ids), np.uint64, len(ids))
+    parts = [_split(blocks_of(t, v), BATCH) for t in texts]
+    out = _sampled(keys, [head for head, _ in parts], v, k)
+    for d, (head, tail) in enumerate(parts):
+        if not tail:
+            continue
+        own = [x for x in out if x[0] == d]
+        # A head whose samples are likely, so that nodes behind it count too, grows until they aren't.
+        while tail and max(x[3] for x in own) > -2 * _FAR:
+            more, tail = _split(tail, sum(map(len, head)))
+            head = head + more
+            own = [(d, *x[1:]) for x in _sampled(keys[d : d + 1], [head], v, k)]
+        drawn = _drawn(int(keys[d]), tail, len(head), [x[1] - 1 for x in own], v)
+        out = [x for x in out if x[0] != d] + [(d, rank, np.concatenate([pieces, more]), lp + lp_more, g, chance) for (_, rank, pieces, lp, g, chance), (more, lp_more) in zip(own, drawn)]
+    return out
+
+
+def _sampled(keys: np.ndarray, blocks: list[list[str]], v: Vocabulary, k: int) -> list[tuple]:
     found, threshold = [], None
-    for step in sample_batch(keys, [blocks_of(t, v) for t in texts], v, k):
+    for step in sample_batch(keys, blocks, v, k):
         if isinstance(step, np.ndarray):
             threshold = step
             break
         live, pieces, at, logp, score = step
-        several = pieces.min(initial=0) < 0
-        for d in np.flatnonzero(live).tolist():
-            own = pieces[at[d] : at[d + 1]]
-            if several and len(own) and own.min() < 0:
-                own = np.array([x for i in own.tolist() for x in ([i] if i >= 0 else [_BYTE0 + b for b in chr(-1 - i).encode()])], np.int32)
-            found.append((d, own, float(logp[d]), float(score[d])))
+        found += [(d, _bytes_for(pieces[at[d] : at[d + 1]]), float(logp[d]), float(score[d])) for d in np.flatnonzero(live).tolist()]
     rank: dict[int, int] = {}
     out = []
     for d, own, lp, g in found:
@@ -432,16 +505,16 @@ def sample_texts(ids: list[int | None], texts: list[str | None], v: Vocabulary,
     return out
 
 
-def encode_samples(docs: DataFrame, model_file: str | None = None, k: int = SAMPLES, with_ids: bool = True) -> DataFrame:
-    """(doc_id, sample, n_pieces, log_prob, perturbed, inclusion, decoded, ids_sha256[, ids]).
+def encode_samples(docs: DataFrame, model_file: str | None = None, k: int = SAMPLES) -> DataFrame:
+    """(doc_id, sample, n_pieces, log_prob, perturbed, inclusion, decoded, ids_sha256, ids).
 
     ``decoded`` tells that decoding gave the text back; ids_sha256 is of the ids as
     little-endian 32-bit numbers.
     """
     vocabulary = load_vocabulary(model_file or default_model())
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "decoded", "ids_sha256"] + ["ids"] * with_ids
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.string()] + [pa.list_(pa.int32())] * with_ids
+    names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "decoded", "ids_sha256"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
@@ -450,11 +523,15 @@ def encode_samples(docs: DataFrame, model_file: str | None = None, k: int = SAMP
         size = 0
 
         def done() -> pa.RecordBatch:
-            rows = []
+            rows, pieces = [], []
             for d, rank, own, lp, g, chance in sample_texts(keys, texts, v, k):
                 same = decode(own.tolist(), v) == (texts[d] or "").replace(_MARK, " ")
-                rows.append((keys[d], rank, len(own), lp, g, chance, same, hashlib.sha256(own.astype("<i4").tobytes()).hexdigest()) + (own,) * with_ids)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                own = own.astype("<i4")
+                rows.append((keys[d], rank, len(own), lp, g, chance, same, hashlib.sha256(own.tobytes()).hexdigest()))
+                pieces.append(own)
+            offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(pieces)))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows), types)), ids], [*names, "ids"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
@@ -467,7 +544,7 @@ def encode_samples(docs: DataFrame, model_file: str | None = None, k: int = SAMP
         if keys:
             yield done()
 
-    ddl = "doc_id bigint, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, decoded boolean, ids_sha256 string" + ", ids array<int>" * with_ids
+    ddl = "doc_id bigint, sample int, n_pieces int, log_prob double, perturbed double, inclusion double, decoded boolean, ids_sha256 string, ids array<int>"
     return doc_columns(docs, ("doc_id", "bigint"), ("text", "string")).mapInArrow(run, ddl)
 
 

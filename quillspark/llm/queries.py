@@ -29,7 +29,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampler.encode_samples(_read(spark, sf_dir, "documents"), with_ids=False)
+    return piece_sampler.encode_samples(_read(spark, sf_dir, "documents"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

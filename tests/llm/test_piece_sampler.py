@@ -114,3 +114,34 @@ def test_operator(spark):
     back = ps.decode_ids(ps.encode_samples(docs, k=2)).select("doc_id", "text").distinct().collect()
     assert {(r.doc_id, r.text) for r in back} == {(1, "some words"), (2, ""), (None, "some words")}
     assert ps.encode_samples(docs.limit(0)).count() == 0
+
+
+def test_long_texts_are_drawn_in_parts(vocabulary, monkeypatch):
+    text = " ".join(f"word{i * 7919 % 1000} {'né漢'[i % 3]}{i}" for i in range(3000))
+    whole = ps.sample_texts([1, 2], [text, "short"], vocabulary, 3)
+    monkeypatch.setattr(ps, "BATCH", 2000)
+    parts = sorted(ps.sample_texts([1, 2], [text, "short"], vocabulary, 3), key=lambda r: r[:2])
+    for a, b in zip(sorted(whole, key=lambda r: r[:2]), parts, strict=True):
+        assert a[2].tolist() == b[2].tolist() and a[3:] == pytest.approx(b[3:])
+
+
+def test_a_likely_head_grows(vocabulary, monkeypatch):
+    text = "1 " * 2000 + "the end of it"
+    whole = ps.sample_texts([1], [text], vocabulary, 3)
+    monkeypatch.setattr(ps, "BATCH", 500)
+    assert [r[2].tolist() for r in ps.sample_texts([1], [text], vocabulary, 3)] == [r[2].tolist() for r in whole]
+
+
+def test_five_million_characters_without_a_space(vocabulary):
+    letters = np.random.default_rng(3).integers(97, 123, 5_000_000).astype(np.uint8).tobytes().decode()
+    rows = ps.sample_texts([1], [letters], vocabulary, 2)
+    assert len(rows) == 2 and rows[0][2].tolist() != rows[1][2].tolist()
+    assert all(ps.decode(r[2].tolist(), vocabulary) == letters for r in rows)
+
+
+def test_long_blocks_are_cut_where_no_piece_is(vocabulary):
+    block = "▁" + "x" * 9000
+    assert [len(b) for b in ps._parts(block, vocabulary.pairs)] == [4096, 4096, 809]
+    block = "▁" + "ab\u0001" * 3000
+    parts = list(ps._parts(block, vocabulary.pairs))
+    assert "".join(parts) == block and all(a[-1] + b[0] not in vocabulary.pairs for a, b in zip(parts, parts[1:]))
