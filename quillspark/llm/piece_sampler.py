@@ -42,10 +42,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -64,6 +64,8 @@ BATCH, BLOCK = 200_000, 2048
 _MARK = "▁"
 _BYTE0 = 3
 _FAR = 45.0
+#: What keeps backward sums in a float's range, and the levels after which they start anew.
+_SCALE, _LEVELS = 20.0, 48
 
 
 def default_model() -> str:
@@ -83,6 +85,7 @@ class Vocabulary:
     child: np.ndarray  # by slot: the child
     piece: np.ndarray  # by node: its piece's id, or -1
     single: np.ndarray  # by code point: the node of that character alone, or 0
+    weight: np.ndarray  # [characters, id]: a piece's weight, times _SCALE for every character
     longest: int
     lone_newline: bool
     pairs: frozenset[str]  # neighbouring characters of all pieces
@@ -94,14 +97,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _slot(key: np.ndarray, size: int) -> np.ndarray:
+    return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - size.bit_length())).view(np.int64)
+
+
 def build_vocabulary(pieces: list[str], special: set[int]) -> Vocabulary:
     """``special``: ids that stand for no text (control, unknown and byte pieces)."""
     known = {p: i for i, p in enumerate(pieces) if i not in special}
     nodes = {p[:n]: 0 for p in known for n in range(1, len(p) + 1)}
     nodes = {p: i for i, p in enumerate(nodes, 1)}
     longest = -(-max(map(len, known)) // 8) * 8
-    if longest > 56:
-        raise ValueError("a piece has 56 characters at most: a node's edges are bits of a long")
+    if longest > 56 or any("\0" in p for p in known):
+        raise ValueError("a piece has 56 characters at most (a node's edges are bits of a long) and no null")
     size = 1 << (4 * len(nodes)).bit_length()
     slots, child = np.zeros(size, np.uint64), np.zeros(size, np.int32)
     single = np.zeros(0x110000, np.int32)
@@ -110,14 +117,15 @@ def build_vocabulary(pieces: list[str], special: set[int]) -> Vocabulary:
             single[ord(p)] = i
             continue
         key = np.array([nodes[p[:-1]] << 21 | ord(p[-1])], np.uint64)
-        at = int(_mix(key)[0]) & (size - 1)
+        at = int(_slot(key, size)[0])
         while slots[at]:
             at = (at + 1) & (size - 1)
         slots[at], child[at] = key[0], i
     raw = [b"" if i in special else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
     raw[_BYTE0 : _BYTE0 + 256] = [bytes([b]) for b in range(256)]
     pairs = frozenset(p[i : i + 2] for p in known for i in range(len(p) - 1))
-    return Vocabulary(tuple(raw), slots, child, np.array([-1, *(known.get(p, -1) for p in nodes)], np.int32), single, longest, not any("\n" in p for p in known), pairs)
+    weight = np.maximum(np.arange(len(pieces)) - 257, 2.0) ** -ALPHA * _SCALE ** np.arange(longest + 1.0)[:, None]
+    return Vocabulary(tuple(raw), slots, child, np.array([-1, *(known.get(p, -1) for p in nodes)], np.int32), single, weight, longest, not any("\n" in p for p in known), pairs)
 
 
 def load_vocabulary(model_file: str) -> Vocabulary:
@@ -132,7 +140,7 @@ def load_vocabulary(model_file: str) -> Vocabulary:
 def decode(ids, vocabulary: Vocabulary) -> str:
     """The text of a row of ids, without the space that encoding puts in front."""
     raw = vocabulary.raw
-    out = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+    out = b"".join(itemgetter(*ids)(raw) if len(ids) > 1 else [raw[i] for i in ids]).decode("utf-8", "replace")
     return out[1:] if out[:1] == " " else out
 
 
@@ -147,54 +155,54 @@ class Lattice:
     blocks: int
     first: np.ndarray  # by block: its first node
     edges: np.ndarray  # by node: its first edge; one more at the end
-    source: np.ndarray  # by edge: the node it starts from
     target: np.ndarray  # by edge: the node it leads to
     piece: np.ndarray  # by edge: its id; -1 - code point for a fallback to several bytes
-    logp: np.ndarray  # by edge: log probability, given its start
+    chance: np.ndarray  # by edge: probability, given its start
     reach: np.ndarray  # [node, number of its edge]: running sums of probabilities; 2 from the last on
 
+    def source(self, edge: np.ndarray) -> np.ndarray:
+        """The nodes that edges start from."""
+        return np.searchsorted(self.edges, edge, "right") - 1
+
 
 def build_lattice(blocks: list[str], v: Vocabulary) -> Lattice:
     size = np.fromiter(map(len, blocks), np.int64, len(blocks))
     first = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
     n = int(size.sum()) + len(blocks)
     code = np.frombuffer(("\0".join(blocks) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
-    left = (np.repeat(first + size, size + 1) - np.arange(n)).astype(np.int32)
+    left = (np.repeat(first + size, size + 1) - np.arange(n)).astype(np.uint16)  # 2 * BLOCK at most
     order = np.argsort(left, kind="stable").astype(np.int32)
     node = np.empty(n + v.longest, np.int32)
     node[order] = np.arange(n, dtype=np.int32)
-    wide = len(v.slots) - 1
-    logs = -ALPHA * np.log(np.maximum(np.arange(len(v.raw)) - 257, 2.0))
     place = order[len(blocks) :]  # in the nodes' order, which every step keeps
     tree = v.single[code[place]]
     ids = v.piece[tree]
     bare = ids < 0
     chars = code[place[bare]].astype(np.int32)
-    piece, score = ids.copy(), logs[np.maximum(ids, 0)]
+    piece, weight = ids.copy(), v.weight[1][np.maximum(ids, 0)]
     piece[bare] = np.where(chars < 0x80, _BYTE0 + chars, -1 - chars)
-    score[bare] = logs[-1] * (1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF))
-    found_at = [(place, piece, score)]
-    place, tree = place[tree > 0], tree[tree > 0]
+    weight[bare] = v.weight[1][-1] * (v.weight[0][-1] ** ((chars > 0x7F) + 0.0 + (chars > 0x7FF) + (chars > 0xFFFF)))
+    found_at = [(place, piece, weight)]
+    place, tree = place.compress(tree > 0), tree.compress(tree > 0)
     for k in range(1, v.longest):
-        inside = left[place] > k
-        place = place[inside]
-        h = tree[inside].astype(np.uint64) << np.uint64(21) | code[place + k]
-        at = _mix(h).astype(np.int64) & wide
-        key = v.slots[at]
+        # No piece holds the mark of a block's end, so none goes beyond it.
+        h = tree.astype(np.uint64) << np.uint64(21) | code[place + k]
+        at = _slot(h, len(v.slots))
+        key = v.slots.take(at)
         found = key == h
         open_ = np.flatnonzero(~found & (key != 0))
         while len(open_):
-            at[open_] = (at[open_] + 1) & wide
-            key = v.slots[at[open_]]
+            at[open_] = (at[open_] + 1) & (len(v.slots) - 1)
+            key = v.slots.take(at[open_])
             hit = key == h[open_]
             found[open_[hit]] = True
             open_ = open_[~hit & (key != 0)]
-        place, tree = place[found], v.child[at[found]]
+        place, tree = place.compress(found), v.child.take(at.compress(found))
         if not len(place):
             break
         ids = v.piece[tree]
         real = ids >= 0
-        found_at.append((place[real], ids[real], logs[ids[real]]))
+        found_at.append((place.compress(real), ids.compress(real), v.weight[k + 1][ids.compress(real)]))
     degree = np.zeros(n, np.int32)
     nth = []
     for place, _, _ in found_at:
@@ -203,33 +211,35 @@ def build_lattice(blocks: list[str], v: Vocabulary) -> Lattice:
         degree[at] += 1
     edges = np.concatenate([[0], np.cumsum(degree)]).astype(np.int64)
     total = int(edges[-1])
-    target, pieces, logp, number = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total), np.empty(total, np.int32)
-    lengths = [1, *(k + 1 for k in range(1, len(found_at)))]
-    for (place, piece, score), (at, i), length in zip(found_at, nth, lengths):
+    target, pieces, chance = np.empty(total, np.int32), np.empty(total, np.int32), np.empty(total)
+    for length, ((place, piece, weight), (at, i)) in enumerate(zip(found_at, nth), 1):
         e = edges[at] + i
-        target[e], pieces[e], logp[e], number[e] = node[place + length], piece, score, i
-    beta = np.zeros(n)
-    chance = np.empty(total)
-    bounds = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2)).tolist()
-    for i, j in zip(bounds[:-1], bounds[1:]):
-        if i == j:
-            continue
+        target[e], pieces[e], chance[e] = node[place + length], piece, weight
+    # Backward sums: the mass of all ways from a node to its block's end, every character times _SCALE.
+    beta, mass = np.ones(n), np.ones(n)
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(left))]).tolist()
+    for level in range(1, len(bounds) - 1):
+        i, j = bounds[level : level + 2]
         a, b = int(edges[i]), int(edges[j])
-        starts, many = edges[i:j] - a, degree[i:j]
-        s = logp[a:b] + beta[target[a:b]]
-        top = np.maximum.reduceat(s, starts)
-        sums = np.log(np.add.reduceat(np.exp(s - np.repeat(top, many)), starts)) + top
-        beta[i:j] = sums
-        s -= np.repeat(sums, many)
-        logp[a:b] = s
-    np.exp(logp, out=chance)
+        s = chance[a:b]
+        s *= beta[target[a:b]]
+        beta[i:j] = mass[i:j] = np.add.reduceat(s, edges[i:j] - a)
+        if level % _LEVELS == 0:
+            # Sums of blocks that go on start at one again, with those that their pieces may still reach.
+            start = bounds[max(level - v.longest, 0)]
+            block = np.searchsorted(first, order[start:j], "right") - 1
+            scale = np.ones(len(blocks))
+            scale[block[i - start :]] = beta[i:j]
+            beta[start:j] /= scale[block]
+    source = np.repeat(np.arange(n), degree)
+    chance /= mass.take(source)
     run = np.cumsum(chance)
-    source = np.repeat(np.arange(n, dtype=np.int32), degree)
-    run -= np.concatenate([[0.0], run])[edges[:-1]][source]
-    run[edges[1:][degree > 0] - 1] = 2
+    run -= np.concatenate([[0.0], run])[edges[:-1]].take(source)
+    run[edges[1:].compress(degree > 0) - 1] = 2
     reach = np.full(n * v.longest, 2, np.float32)
-    reach[source * np.int64(v.longest) + number] = run
-    return Lattice(len(blocks), node[first], edges, source, target, pieces, logp, reach.reshape(n, v.longest))
+    # An edge's number is its distance to the node's first.
+    reach[(np.arange(n) * v.longest - edges[:-1]).take(source) + np.arange(total)] = run
+    return Lattice(len(blocks), node[first], edges, target, pieces, chance, reach.reshape(n, v.longest))
 
 
 # --- Walks and search -------------------------------------------------------------------------
@@ -267,11 +277,13 @@ def _walk(lat: Lattice, block: np.ndarray, node: np.ndarray, state: np.ndarray)
         if not len(alive):
             break
         if len(alive) < len(node):
-            block, node, state = block[alive], node[alive], state[alive]
+            block, node, state = block.take(alive), node.take(alive), state.take(alive)
         state = state * np.uint64(0x5851F42D4C957F2D) + np.uint64(0x14057B7EF767814F)
         u = ((state ^ (state >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
-        below = (lat.reach[node] <= u[:, None]).view(np.uint64)
-        edge = lat.edges[node] + np.bitwise_count(below).sum(axis=1, dtype=np.int64)
+        below = np.bitwise_count((lat.reach.take(node, axis=0) <= u[:, None]).view(np.uint64))
+        edge = lat.edges[node]
+        for eight in below.T:
+            edge += eight
         out.append((block, np.full(len(block), step, np.int32), edge))
         node = lat.target[edge]
         step += 1
@@ -305,8 +317,8 @@ def sample_batch(keys: np.ndarray, texts: list[list[str]], v: Vocabulary, k: int
     """Yield per sample (texts that have it, ids of all edges, text bounds in edges, log p, perturbed), and at last the thresholds."""
     counts = np.fromiter(map(len, texts), np.int64, len(texts))
     docs, total = len(texts), int(counts.sum())
-    numbers: defaultdict[str, int] = defaultdict()
-    numbers.default_factory = numbers.__len__
+    numbers = dict.fromkeys(chain.from_iterable(texts))
+    numbers = dict(zip(numbers, range(len(numbers))))
     kind = np.fromiter(map(numbers.__getitem__, chain.from_iterable(texts)), np.int64, total)
     lat = build_lattice(list(numbers), v)
     wide = np.arange(v.longest)
@@ -315,14 +327,11 @@ def sample_batch(keys: np.ndarray, texts: list[list[str]], v: Vocabulary, k: int
     doc = np.repeat(np.arange(docs), counts)
     place = np.arange(total) - bounds[doc]
 
-    def node_of(edge: np.ndarray) -> np.ndarray:
-        return lat.source[edge]
-
     def free_chances(node: np.ndarray, taken: np.ndarray) -> np.ndarray:
         """[node, number]: the probabilities of a node's edges that aren't taken."""
         edge = lat.edges[node][:, None] + wide
         real = (edge < lat.edges[node + 1][:, None]) & ((taken[:, None] >> wide) & 1 == 0)
-        return np.where(real, np.exp(lat.logp[np.minimum(edge, len(lat.logp) - 1)]), 0.0)
+        return np.where(real, lat.chance[np.minimum(edge, len(lat.chance) - 1)], 0.0)
 
     def states(block: np.ndarray, sample: int) -> np.ndarray:
         return _states(keys[doc[block]], place[block], sample)
@@ -337,7 +346,7 @@ def sample_batch(keys: np.ndarray, texts: list[list[str]], v: Vocabulary, k: int
     for sample in range(k):
         walks.append(now)
         text_at = now.start[bounds]
-        logp = lat.logp[now.edge]
+        logp = np.log(lat.chance[now.edge])
         run = np.concatenate([[0.0], np.cumsum(logp)])
         yield live.copy(), lat.piece[now.edge], text_at, run[text_at[1:]] - run[text_at[:-1]], score.copy()
         # Divide what is left of each text's set by the first edge that differs: early edges hold the mass.
@@ -347,12 +356,12 @@ def sample_batch(keys: np.ndarray, texts: list[list[str]], v: Vocabulary, k: int
             d = doc[now.block[e]]
             position = e - text_at[:-1][d]
             mass = run[e] - base[e] + np.log(np.maximum(-np.expm1(logp[e]), 1e-300))
-            taken = np.left_shift(1, now.edge[e] - lat.edges[node_of(now.edge[e])])
+            taken = np.zeros(len(e), np.int64)  # filled in for those that stay
             mass[(logp[e] > -1e-15) | (position <= fork[d]) & forked[d] | ~live[d]] = -np.inf
             at_fork = np.flatnonzero(forked & live)
             if len(at_fork):
                 f = text_at[:-1][at_fork] + fork[at_fork]
-                node = node_of(now.edge[f])
+                node = lat.source(now.edge[f])
                 f_taken = banned[at_fork] | np.left_shift(1, now.edge[f] - lat.edges[node])
                 rest = free_chances(node, f_taken).sum(axis=1)
                 f_mass = np.where(rest > 0, run[f] - base[f] + np.log(np.maximum(rest, 1e-300)), -np.inf)
@@ -363,6 +372,8 @@ def sample_batch(keys: np.ndarray, texts: list[list[str]], v: Vocabulary, k: int
             if (best > _FAR - deep)[live].all():
                 break
         near = np.flatnonzero((mass > best[d] - _FAR) & np.isfinite(mass))
+        plain = near[taken[near] == 0]
+        taken[plain] = np.left_shift(1, now.edge[e[plain]] - lat.edges[lat.source(now.edge[e[plain]])])
         d, position = d[near], position[near]
         g = mass[near] + _gumbel(_uniform(keys[d], np.full(len(d), 1000 * sample + 2), position))
         pool.append({"doc": d, "edge": e[near], "position": position, "taken": taken[near], "g": _truncated(g, score[d])})
@@ -383,7 +394,7 @@ def sample_batch(keys: np.ndarray, texts: list[list[str]], v: Vocabulary, k: int
             chosen[ds] = True
             fork[ds], banned[ds] = p["position"][hit], p["taken"][hit]
             p["g"][hit] = -np.inf
-            b, node = parent.block[e], node_of(parent.edge[e])
+            b, node = parent.block[e], lat.source(parent.edge[e])
             step = e - parent.start[b]
             skip[ds] = b + 1
             p_at = parent.start[bounds]
@@ -463,7 +474,7 @@ def _drawn(key: int, blocks: list[str], place: int, samples: list[int], v: Vocab
         for sample, found in zip(samples, out):
             walk = _placed(len(part), *_walk(lat, every, begin, _states(np.full(len(part), key, np.uint64), every + place, sample)))
             found[0].append(_bytes_for(lat.piece[walk.edge]))
-            found[1] += float(lat.logp[walk.edge].sum())
+            found[1] += float(np.log(lat.chance[walk.edge]).sum())
         place += len(part)
     return [(np.concatenate(ids) if ids else np.zeros(0, np.int32), logp) for ids, logp in out]
 
