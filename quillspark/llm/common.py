@@ -53,5 +53,45 @@ def doc_columns(df: DataFrame, *wanted: tuple[str, str]) -> DataFrame:
     return df.select(*(F.col(f"`{n}`").cast(t).alias(n) for n, t in wanted))
 
 
+#: Keys that :func:`without_keys` broadcasts at most, of about 70 bytes each.
+FEW = 2_000_000
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without_keys(docs: DataFrame, gone: DataFrame, mark: Column, few: int = FEW) -> DataFrame:
+    """``docs`` without the rows whose doc_id and ``mark`` are in the written table
+    ``gone(doc_id, mark, one)``; of rows whose key has ``one`` a single one stays.
+
+    Up to ``few`` keys are broadcast and rows taken out where they are read; beyond
+    that number both sides are dealt by key.
+    """
+    i, m, gi, gm = unused(docs, "id", "mark", "gone_id", "gone_mark")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(*columns, F.col("doc_id").cast("bigint").alias(i), mark.alias(m))
+
+    def keyed(part: DataFrame) -> DataFrame:
+        part = part.select(F.col("doc_id").alias(gi), F.col("mark").alias(gm))
+        return F.broadcast(part) if part.count() <= few else part
+
+    same = F.col(i).eqNullSafe(F.col(gi)) & (F.col(m) == F.col(gm))
+    out = named.join(keyed(gone), same, "left_anti").select(*columns)
+    again = gone.filter("one")
+    if not again.isEmpty():
+        # An aggregate with partial folding: rows that repeat a million times meet in no task.
+        out = out.unionAll(named.join(keyed(again), same, "left_semi").dropDuplicates([i, m]).select(*columns))
+    return out
+
+
 def struct(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)

@@ -18,10 +18,10 @@ stays.  An empty table gives an empty table.  Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, text_of
+from .common import FEW, doc_columns, text_of, without_keys, written
 
 MIN_CHARS, MAX_CHARS = 512, 8192
 
@@ -62,14 +62,11 @@ def collided(docs: DataFrame, identifier=strong_identifier, **sizes) -> DataFram
     return chunk_dictionary(docs, identifier, **sizes).select("id").groupBy("id").agg(F.count("*").alias("texts")).filter("texts > 1").select("id")
 
 
-def exact_groups(docs: DataFrame, identifier=strong_identifier, **sizes) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256, n_chunks), a row per document."""
+def recipe_rows(docs: DataFrame, identifier=strong_identifier, **sizes) -> DataFrame:
+    """(doc_id, text_sha256, recipe, keep_id, group_size, same): a row per id and text;
+    ``same`` is the number of rows that repeat both."""
     docs = doc_columns(docs, ("doc_id", "bigint"), ("text", "string"))
-    recipes = docs.select(
-        "doc_id",
-        F.transform(chunks(text_of(), **sizes), identifier).alias("recipe"),
-        F.sha2(F.encode(text_of(), "utf-8"), 256).alias("text_sha256"),
-    )
+    recipes = docs.select("doc_id", F.transform(chunks(text_of(), **sizes), identifier).alias("recipe"), text_digest().alias("text_sha256"))
     # A collided identifier is split by the digest of the whole text: its recipes differ unless the texts agree.
     bad = collided(docs, identifier, **sizes)
     marked = (
@@ -84,21 +81,35 @@ def exact_groups(docs: DataFrame, identifier=strong_identifier, **sizes) -> Data
     else:
         recipes = recipes.withColumn("guard", F.lit(""))
     recipes = recipes.withColumn("r", F.xxhash64("recipe", "guard"))
-    # Repeated rows fold into a count before anything else, and come back at the end.
-    rows = recipes.groupBy("doc_id", "r", "recipe", "guard", "text_sha256").agg(F.count("*").alias("same"))
-    groups = rows.groupBy("r", "recipe", "guard").agg(F.max("doc_id").alias("keep_id"), F.sum("same").alias("group_size"))
+    # Repeated rows fold into a count before anything else.
     key = ["r", "recipe", "guard"]
-    found = rows.join(groups, key).select("doc_id", "keep_id", "group_size", "text_sha256", F.size("recipe").alias("n_chunks"), F.explode(F.sequence(F.lit(1), F.col("same").cast("int"))).alias("nth"))
-    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256", "n_chunks")
+    rows = recipes.groupBy("doc_id", *key, "text_sha256").agg(F.count("*").alias("same"))
+    groups = rows.groupBy(*key).agg(F.max("doc_id").alias("keep_id"), F.sum("same").alias("group_size"))
+    return rows.join(groups, key).drop("r", "guard")
+
 
+def text_digest() -> Column:
+    return F.sha2(F.encode(text_of(), "utf-8"), 256)
 
-def drop_exact_copies(docs: DataFrame) -> DataFrame:
+
+def exact_groups(docs: DataFrame, identifier=strong_identifier, **sizes) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256, n_chunks), a row per document."""
+    rows = recipe_rows(docs, identifier, **sizes)
+    each = rows.select("doc_id", "keep_id", "group_size", "text_sha256", F.size("recipe").alias("n_chunks"), F.explode(F.sequence(F.lit(1), F.col("same").cast("int"))).alias("nth"))
+    return each.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256", "n_chunks")
+
+
+def drop_exact_copies(docs: DataFrame, few: int = FEW) -> DataFrame:
     """The documents that :func:`exact_groups` keeps, with all their columns; a
-    row that repeats another's id and text goes as well."""
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
-    kept = exact_groups(docs).filter("kept").select(key.alias("__id"), F.col("text_sha256").alias("__sha"))
-    named = docs.withColumn("__id", key).withColumn("__sha", F.sha2(F.encode(text_of(), "utf-8"), 256))
-    # The join leaves rows dealt and sorted by the window's keys: the rank needs no further exchange.
-    out = named.join(kept, ["__id", "__sha"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy("__id"))
-    return out.withColumn("__nth", nth).filter("__nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    row that repeats another's id and text goes as well.
+
+    Texts aren't exchanged: what is written is the keys of the rows that go, an id
+    and 60 bits of the digest, see :func:`~quillspark.llm.common.without_keys`.
+    """
+
+    def mark(sha256: Column) -> Column:
+        return F.conv(F.substring(sha256, 1, 15), 16, 10).cast("bigint")
+
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = recipe_rows(docs).filter(~stays | (F.col("same") > 1)).select("doc_id", mark(F.col("text_sha256")).alias("mark"), stays.alias("one"))
+    return without_keys(docs, written(gone, "exact-copies"), mark(text_digest()), few)

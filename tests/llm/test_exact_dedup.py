@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup as ed
 
-DOCS = "doc_id bigint, text string, recipe string, r string"
+DOCS = "doc_id bigint, text string, __id string, mark string"
 
 
 def test_chunks_join_to_the_text(spark):
@@ -65,6 +65,21 @@ def test_drop(spark):
     assert [r.doc_id for r in got if not r.text] == [3]
 
 
+def test_drop_keeps_clashing_columns_and_deals_many_keys(spark):
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in ROWS * 2] + [(None, "n", "x", "y")] * 3, DOCS)
+    want = sorted((str(i), t or "") for i, t in [(9, "same"), (5, "Same"), (6, " same"), (8, "x" * 5000), (10, "twice"), (None, "alone"), (11, "x" * 5001), (3, ""), (None, "n")])
+    for few in (0, 1000):
+        got = ed.drop_exact_copies(docs, few=few).collect()
+        assert sorted((str(r.doc_id), r.text) for r in got) == want
+        assert {(r["__id"], r.mark) for r in got} == {("x", "y")}
+
+
+def test_no_text_is_exchanged(spark):
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in ROWS], DOCS)
+    plan = ed.drop_exact_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|SortMergeJoin", plan)
+
+
 def test_no_python_in_the_plan(spark):
     plan = ed.exact_groups(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
