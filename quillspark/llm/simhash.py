@@ -30,13 +30,12 @@ from collections.abc import Callable, Iterator
 from itertools import chain, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_columns, text_of, written
+from .common import FEW, doc_columns, text_of, without_keys, written
 from .components import connected_components
 
 #: Words in a shingle, the hash's seed and the most differing bits, where no contract says otherwise.
@@ -197,14 +196,20 @@ def wide_fingerprint(text: str | None, shingle: int = SHINGLE, wide: int = WIDE)
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: int = WIDE) -> DataFrame:
-    """(doc_id, n, fp), a row per document."""
+    """(doc_id, mark, n, fp), a row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [wide_fingerprint(t.as_py(), shingle, wide) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in rows], pa.int32()), pa.array([f for _, f in rows], pa.binary())], ["doc_id", "n", "fp"])
+            rows = [wide_fingerprint(t.as_py(), shingle, wide) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([n for n, _ in rows], pa.int32()), pa.array([f for _, f in rows], pa.binary())], ["doc_id", "mark", "n", "fp"])
 
-    return doc_columns(docs, ("doc_id", "bigint"), ("text", "string")).mapInArrow(run, "doc_id bigint, n int, fp binary")
+    read = doc_columns(docs, ("doc_id", "bigint"), ("text", "string")).select("doc_id", text_mark().alias("mark"), "text")
+    return read.mapInArrow(run, "doc_id bigint, mark bigint, n int, fp binary")
+
+
+def text_mark() -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64(text_of())
 
 
 def differing_bits(similarity: float, bits: int = 64 * WIDE) -> int:
@@ -423,39 +428,36 @@ def similar_links(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFr
 
 
 def _similar(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, fp) a row per document, and (fp, component_id, first) a row per fingerprint:
-    its component's smallest doc_id and smallest fingerprint."""
+    """(doc_id, mark, n, fp) a row per document, and (fp, rep, copies) a row per fingerprint:
+    its component's first document (no_id, doc_id, mark), and how many rows have this fingerprint."""
     each = written(wide_fingerprints(docs, shingle), "wide-fingerprints")
+    document = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
     # Fingerprints have a number of their own, whether their documents have an id or not.
-    distinct = written(each.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).withColumn("id", F.monotonically_increasing_id()), "distinct-fingerprints")
+    folded = each.groupBy("fp").agg(F.min(document).alias("own"), F.max("n").alias("n"), F.count("*").alias("copies"))
+    distinct = written(folded.withColumn("id", F.monotonically_increasing_id()), "distinct-fingerprints")
     roots = connected_components(similar_links(distinct, similarity)).withColumnRenamed("node", "id")
-    linked = distinct.join(roots, "id").select("fp", "rep", "root")
-    whole = linked.groupBy("root").agg(F.min("rep").alias("least"), F.min("fp").alias("first"))
-    named = linked.join(whole, "root").select("fp", "least", "first")
-    return each, distinct.join(named, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), F.coalesce("first", "fp").alias("first"))
+    linked = distinct.join(roots, "id").select("fp", "own", "root")
+    first = linked.groupBy("root").agg(F.min("own").alias("rep"))
+    named = linked.join(first, "root").select("fp", "rep")
+    return each, distinct.join(named, "fp", "left").select("fp", F.coalesce("rep", "own").alias("rep"), "copies", F.col("rep").isNotNull().alias("linked"))
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row per document; null where no member has an id."""
     each, named = _similar(docs, similarity, shingle)
-    return each.join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return each.join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), F.col("rep.doc_id").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """Of each group of :func:`similar_groups` the document with its smallest id, with all columns.
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, few: int = FEW) -> DataFrame:
+    """One document of each group of :func:`similar_groups`, with all columns: the one with
+    the smallest id; of a group without any id, and of unlike texts under one id, the one whose
+    text has the least hash.  Rows that repeat both id and text count as one document.
 
-    Of a group without any id one document of its smallest fingerprint stays.  Rows that
-    share the id of the document that stays all stay.
+    As in exact dedup, only the keys of rows that go are written and dealt.
     """
-
-    @F.pandas_udf("binary")
-    def whole(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: wide_fingerprint(t, shingle)[1])
-
     each, named = _similar(docs, similarity, shingle)
-    kept = each.join(named, "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    known = docs.withColumn("__id", F.col("doc_id").cast("bigint")).join(kept, "__id", "left_semi")
-    alone = named.filter("component_id IS NULL AND fp = first").select(F.col("fp").alias("__fp"))
-    unknown = docs.filter(F.col("doc_id").cast("bigint").isNull()).withColumn("__fp", whole(text_of())).join(alone, "__fp", "left_semi").dropDuplicates(["__fp"])
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return known.select(*columns).unionAll(unknown.select(*columns))
+    groups = named.filter("linked OR copies > 1")
+    rows = each.select("doc_id", "mark", "fp").join(groups, "fp").groupBy("doc_id", "mark", "rep").agg(F.count("*").alias("same"))
+    stays = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("mark") == F.col("rep.mark"))
+    gone = rows.filter(~stays | (F.col("same") > 1)).select("doc_id", "mark", stays.alias("one"))
+    return without_keys(docs, written(gone, "near-copies"), text_mark(), few)

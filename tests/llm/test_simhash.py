@@ -258,3 +258,17 @@ def test_near_copies_without_an_id(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.similar_groups(docs).collect()) == [(-1, -1)] * 4 + [(-1, 5), (5, 5)]
     kept = "".join(sorted(r.text2 for r in simhash.drop_near_copies(docs).collect()))
     assert len(kept) == 3 and kept[0] == "a" and kept[1] in "cde" and kept[2] == "f"
+
+
+def test_drop_by_row_and_with_clashing_columns(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    near = base[:60] + ["changed"] + base[61:]
+    other = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+    j = " ".join
+    rows = [(1, j(base)), (2, j(near)), (2, j(other)), (3, j(other) + " end"), (4, j(base)), (None, j(near)), (None, "alone of all"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], "doc_id bigint, text string, __id string, mark string, fp string")
+    for few in (0, 100):
+        got = simhash.drop_near_copies(docs, few=few).collect()
+        assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted([("1", j(base)), ("2", j(other)), ("None", "alone of all"), ("7", "")])
+        assert {(r["__id"], r.mark, r.fp) for r in got} == {("x", "y", "z")}
