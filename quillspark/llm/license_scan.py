@@ -2,7 +2,8 @@
 
 1. Every text's words give one rolling two-word gram a position; its XXH64 is
    joined to the grams of the templates (a fixed list, so a table of known size is
-   broadcast).  The join's condition compares the two words themselves.
+   broadcast).  Positions whose hash no template has don't reach the join; its
+   condition compares the two words themselves.
 2. A hit votes for its diagonal, word position minus template position.  Votes are
    folded before the exchange: a document without a hit is one row.
 3. Neighbouring diagonals (words left out or put in) merge to islands.
@@ -70,9 +71,13 @@ def diagonals(docs: DataFrame, templates: DataFrame) -> DataFrame:
     document and hit diagonal, and one without template per document."""
     docs = doc_columns(docs, ("doc_id", "bigint"), ("text", "string"))
     words = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.regexp_extract_all(F.lower(text_of()), F.lit(WORD), F.lit(0)).alias("words"))
-    hashes = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
-    each = words.select("uid", "doc_id", "words", F.size("words").cast("bigint").alias("n_words"), F.posexplode_outer(hashes).alias("pos", "h"))
-    same = (F.col("h") == F.col("th")) & (F.get("words", F.col("pos")) == F.col("w1")) & (F.get("words", F.col("pos") + 1) == F.col("w2"))
+    # Grams that no template has go before the explode; each row of it then holds two words, not the text's.
+    known = [r.th for r in templates.select("th").distinct().collect()]
+    hashes = F.transform("words", lambda w, i: F.struct(F.xxhash64(w, F.get("words", i + 1)).alias("h"), i.alias("pos")))
+    grams = F.transform(F.filter(hashes, lambda g: g.h.isin(known)), lambda g: F.struct(g.h, g.pos, F.get("words", g.pos).alias("a"), F.get("words", g.pos + 1).alias("b")))
+    each = words.select("uid", "doc_id", F.size("words").cast("bigint").alias("n_words"), grams.alias("grams_")).select("uid", "doc_id", "n_words", F.explode_outer("grams_").alias("g"))
+    each = each.select("uid", "doc_id", "n_words", "g.*")
+    same = (F.col("h") == F.col("th")) & (F.col("a") == F.col("w1")) & (F.col("b") == F.col("w2"))
     hits = each.join(F.broadcast(templates), same, "left")
     return hits.groupBy("uid", "doc_id", "n_words", "tid", "label", "base", "grams", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("mask"))
 

@@ -65,3 +65,15 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "mit license")], "doc_id bigint, text string")
     plan = ls.scan_licenses(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_long_text_takes_time_in_proportion(spark):
+    import time
+
+    text = "of the mit license and " * 40_000 + "gnu general public license"
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string").cache()
+    docs.count()
+    start = time.monotonic()
+    r = ls.scan_licenses(docs).collect()[0]
+    assert time.monotonic() - start < 20
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (200_004, 40_001, 2, 200_000)
