@@ -5,12 +5,15 @@
   doubled ones), and a word that repeats the one before has a form of its own; and of
   n-grams (1 and 2) over the words themselves, in small letters.
 * Each indicator is scaled by its log-count ratio between the classes (naive Bayes),
-  rows have length one, and a linear model with squared hinge loss is fitted to them
-  by dual coordinate descent, the classes weighted to equal parts.
+  rows have length one, and a linear model with hinge loss is fitted to them by dual
+  coordinate descent, the classes weighted to equal parts.
 * A logistic curve through the margins, fitted on the same rows, gives the score.
 
 Fitted on a bounded sample: the ``SAMPLE`` labelled rows with the least hash of their
-id.  Only their ids are broadcast, and only their n-gram hashes reach the driver.
+id, as many as hold ``GRAMS`` n-grams together; of rows that share an id the text with
+the least hash counts.  Only their ids are broadcast.  N-grams are counted where their
+rows are; the driver gets those of ``_MIN_ROWS`` rows or more, and each row's places in
+them as one Arrow table that is read in place.
 Scoring is one pass over the texts without an exchange.  Ids, languages, sources and
 labels are no inputs of a score.
 
@@ -26,17 +29,21 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_columns, text_of
+from .common import doc_columns, new_path, remove, text_of, written
 
 #: Labelled rows that the model is fitted on at most.
 SAMPLE = 12_000
+#: Distinct n-grams of all those rows together; the driver holds 4 bytes for each that counts.
+GRAMS = 50_000_000
 #: Least score that isn't rejected.
 ACCEPT = 0.3
 FOLDS = 5
@@ -100,27 +107,32 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.slope * margin + self.shift))))
 
 
-def _descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, size: int, rounds: int) -> np.ndarray:
-    """Dual coordinate descent for the squared hinge loss; the last weight is the bias."""
+def _descend(rows: list[np.ndarray], square: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the hinge loss, each row's dual between 0 and its cost.
+
+    A row holds the places of its n-grams; its values there are the ratios over the root
+    of ``square``'s sum.  Kept are the weights times the ratios, so no row needs values
+    of its own; the bias belongs to a value of one in every row.
+    """
     rng = np.random.default_rng(7)
-    w, alpha = np.zeros(size + 1), np.zeros(len(rows))
-    diagonal = 1 / (2 * cost)
-    norms = np.array([float(v @ v) + 1 for _, v in rows]) + diagonal
+    u, bias, alpha = np.zeros(len(square)), 0.0, np.zeros(len(rows))
+    scale = np.array([1 / math.sqrt(float(square[at].sum()) or 1.0) for at in rows])
+    norms = np.array([float(square[at].sum()) for at in rows]) * scale**2 + 1
     for _ in range(rounds):
         most = 0.0
         for i in rng.permutation(len(rows)):
-            at, v = rows[i]
-            slope = y[i] * (float(w[at] @ v) + w[-1]) - 1 + diagonal[i] * alpha[i]
-            projected = min(slope, 0.0) if alpha[i] == 0 else slope
-            if projected:
-                most = max(most, abs(projected))
-                old, alpha[i] = alpha[i], max(alpha[i] - slope / norms[i], 0.0)
-                move = (alpha[i] - old) * y[i]
-                w[at] += move * v
-                w[-1] += move
+            at = rows[i]
+            slope = y[i] * (scale[i] * float(u[at].sum()) + bias) - 1
+            new = min(max(alpha[i] - slope / norms[i], 0.0), cost[i])
+            if new != alpha[i]:
+                most = max(most, abs(slope) if 0 < new < cost[i] else abs(new - alpha[i]) * norms[i])
+                move = (new - alpha[i]) * y[i]
+                alpha[i] = new
+                u[at] += move * scale[i] * square[at]
+                bias += move
         if most < 1e-3:
             break
-    return w
+    return u, bias
 
 
 def _curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -139,28 +151,38 @@ def _curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit_rows(grams: list[np.ndarray], labels: np.ndarray) -> Model:
-    """The model of (distinct n-grams, label 0 or 1) rows."""
+    """The model of (distinct sorted n-grams, label 0 or 1) rows."""
+    found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_counts=True)
+    vocabulary = found[counts >= min(_MIN_ROWS, len(labels))]
+    return fit_places(vocabulary, [_places(vocabulary, g) for g in grams], labels)
+
+
+def _places(vocabulary: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Where a row's n-grams stand in the vocabulary, as far as they do."""
+    at = np.searchsorted(vocabulary, grams)
+    inside = at < len(vocabulary)
+    at, grams = at[inside], grams[inside]
+    return at[vocabulary[at] == grams].astype(np.int32)
+
+
+def fit_places(vocabulary: np.ndarray, places: list[np.ndarray], labels: np.ndarray) -> Model:
+    """The model of rows that hold the n-grams at their places."""
     none = np.zeros(0)
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(np.zeros(0, np.uint64), none, none, 0.0, 0.0, float(labels.mean()) if len(labels) else 0.5)
-    vocabulary, counts = np.unique(np.concatenate(grams), return_counts=True)
-    vocabulary = vocabulary[counts >= min(_MIN_ROWS, len(labels))]
-    places = []
-    for g in grams:
-        at = np.searchsorted(vocabulary, g)
-        at[at == len(vocabulary)] = 0
-        places.append(at[vocabulary[at] == g].astype(np.int32))
     y = np.where(labels > 0, 1.0, -1.0)
-    in_class = [np.bincount(np.concatenate([p for p, s in zip(places, y) if s == sign] or [np.zeros(0, int)]), minlength=len(vocabulary)) + _SMOOTH for sign in (1, -1)]
-    ratio = np.log((in_class[0] / in_class[0].sum()) / (in_class[1] / in_class[1].sum()))
-    rows = []
-    for at in places:
-        v = ratio[at]
-        rows.append((at, v / (math.sqrt(float(v @ v)) or 1.0)))
+    in_class = []
+    for sign in (1, -1):
+        count = np.full(len(vocabulary), _SMOOTH)
+        for at, s in zip(places, y):
+            if s == sign:
+                count[at] += 1  # a row's n-grams are distinct
+        in_class.append(count / count.sum())
+    ratio = np.log(in_class[0] / in_class[1])
     share = {s: (y == s).mean() for s in (1.0, -1.0)}
-    w = _descend(rows, y, np.array([_COST / (2 * share[s]) for s in y]), len(vocabulary), _ROUNDS)
-    margins = np.array([float(w[at] @ v) + w[-1] for at, v in rows])
-    return Model(vocabulary, w[:-1] * ratio, ratio**2, float(w[-1]), *_curve(margins, y))
+    u, bias = _descend(places, ratio**2, y, np.array([_COST / (2 * share[s]) for s in y]), _ROUNDS)
+    margins = np.array([float(u[at].sum()) / math.sqrt(float((ratio[at] ** 2).sum()) or 1.0) + bias for at in places])
+    return Model(vocabulary, u, ratio**2, bias, *_curve(margins, y))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -172,16 +194,51 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     named = doc_columns(labels, ("doc_id", "bigint"), ("quality", "int")).filter("doc_id IS NOT NULL AND quality IN (0, 1)")
     chosen = named.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = doc_columns(docs, ("doc_id", "bigint"), ("text", "string")).join(F.broadcast(chosen), "doc_id").select("doc_id", text_of().alias("text"), "quality")
+    # One text an id, folded before the exchange: ids that many rows share stay small.
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     @F.pandas_udf("binary")
     def grams(text: pd.Series) -> pd.Series:
         return text.map(lambda t: ngrams(t).tobytes())
 
-    # Of repeated rows one counts, whichever order they come in.
-    got = texts.select("doc_id", "quality", grams("text").alias("g")).toArrow()
-    keys = sorted({(i.as_py(), q.as_py(), g.as_py()) for i, q, g in zip(*(got.column(c) for c in ("doc_id", "quality", "g")))})
-    del got
-    return fit_rows([np.frombuffer(g, np.uint64) for _, _, g in keys], np.array([q for _, q, _ in keys]))
+    folder = new_path(docs.sparkSession, "quality-sample")
+    rows = written(texts.select("doc_id", "quality", grams("text").alias("g"), F.xxhash64("doc_id").alias("nth")), "quality-sample", folder)
+    # At most ``sample`` rows, so one task sums up their sizes.
+    order = Window.orderBy("nth", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    kept = rows.select("doc_id", "nth", F.sum(F.octet_length("g") / 8).over(order).alias("n")).filter(F.col("n") <= GRAMS).select("doc_id", "nth").orderBy("nth", "doc_id").tail(1)
+    if kept:
+        rows = rows.filter((F.col("nth") < kept[0].nth) | ((F.col("nth") == kept[0].nth) & (F.col("doc_id") <= kept[0].doc_id)))
+    else:
+        rows = rows.limit(0)
+    least = min(_MIN_ROWS, rows.count())
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *_views(batch.column(0), np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+    frequent = rows.select("g").mapInArrow(counted, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("gram")
+    vocabulary = np.sort(frequent.toArrow().column("gram").to_numpy().view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.pandas_udf("binary")
+    def places(g: pd.Series) -> pd.Series:
+        return g.map(lambda x: _places(shared.value, np.frombuffer(x, np.uint64)).tobytes())
+
+    got = rows.select("doc_id", "quality", places("g").alias("at")).toArrow()
+    remove(docs.sparkSession, folder)
+    ids, at = got.column("doc_id").to_numpy(), [x for chunk in got.column("at").chunks for x in _views(chunk, np.int32)]
+    order = np.argsort(ids)
+    return fit_places(vocabulary, [at[i] for i in order], got.column("quality").to_numpy()[order])
+
+
+def _views(column: pa.Array, kind: type) -> Iterator[np.ndarray]:
+    """Each binary value as numbers, in the column's own memory."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].tolist() if len(column) else []
+    size = np.dtype(kind).itemsize
+    for a, b in zip(ends, ends[1:]):
+        yield np.frombuffer(column.buffers()[2], kind, (b - a) // size, a) if b > a else np.zeros(0, kind)
 
 
 def score(model: Model, text: Column) -> Column:

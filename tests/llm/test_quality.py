@@ -14,19 +14,55 @@ def test_forms():
     assert [q.form(w) for w in ("the", "The!!", "ABC", "a1.", "|", "***", "é", "漢")] == ["a", "Aa!+", "A", "a0.", "|", "*+", "a", "x"]
 
 
-def test_descent_solves_the_dual():
-    rng = np.random.default_rng(1)
-    rows = [(np.array([0, 1]), rng.normal(size=2)) for _ in range(60)]
-    y = np.array([1.0 if v[0] + 0.3 * v[1] > 0 else -1.0 for _, v in rows])
-    cost = np.ones(60)
-    w = q._descend(rows, y, cost, 2, 500)
-
-    def primal(w):
-        return 0.5 * w @ w + sum(max(0, 1 - s * (v @ w[:2] + w[2])) ** 2 for s, (_, v) in zip(y, rows))
-
-    best = primal(w)
-    for _ in range(200):
-        assert primal(w + rng.normal(size=3) * 0.02) >= best - 1e-6
+def brute_force(texts, labels):
+    """Margins by definition: dense ratios of all n-grams of two rows or more, the hinge-loss dual by plain projected steps."""
+
+    def features(text):
+        words = text.split()
+        forms = ["<"] + [q.form(w) if not i or w != words[i - 1] else "same" for i, w in enumerate(words)] + [">"]
+        own = [w.lower() for w in words]
+        grams = [("f", *forms[i : i + n]) for n in (1, 2, 3) for i in range(len(forms) - n + 1)]
+        return set(grams + [("w", *own[i : i + n]) for n in (1, 2) for i in range(len(own) - n + 1)])
+
+    rows = [features(t) for t in texts]
+    names = sorted({g for r in rows for g in r if sum(g in x for x in rows) >= q._MIN_ROWS})
+    count = {c: [1 + sum(g in r for r, label in zip(rows, labels) if label == c) for g in names] for c in (0, 1)}
+    ratio = np.log(np.array(count[1]) / sum(count[1])) - np.log(np.array(count[0]) / sum(count[0]))
+    x = np.array([[ratio[i] * (g in r) for i, g in enumerate(names)] for r in rows])
+    x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.ones((len(rows), 1))])
+    y = np.where(np.array(labels) == 1, 1.0, -1.0)
+    top = np.array([1 / (2 * np.mean(y == s)) for s in y])
+    gram, alpha = (x * y[:, None]) @ (x * y[:, None]).T, np.zeros(len(rows))
+    step = 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(200_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, top)
+    w = (alpha * y) @ x
+    return x @ w, 0.5 * w @ w + top @ np.maximum(0, 1 - y * (x @ w))
+
+
+def test_model_against_brute_force(monkeypatch):
+    monkeypatch.setattr(q, "_ROUNDS", 3000)
+    rng = random.Random(11)
+    texts, labels = [], []
+    for i in range(50):
+        some = ["the", "Line", "proof", "clear", "of."] if i % 3 else ["the", "WIN!!", "bonus", "x&&", "of."]
+        texts.append(" ".join(rng.choice(some + ["word", "next"]) for _ in range(12)))
+        labels.append(int(i % 3 > 0) if i % 10 else i % 2)
+    want, loss = brute_force(texts, labels)
+    model = q.fit_rows([q.ngrams(t) for t in texts], np.array(labels))
+    got = []
+    for t in texts:
+        at = np.flatnonzero(np.isin(model.grams, q.ngrams(t)))
+        got.append(model.weight[at].sum() / np.sqrt(model.square[at].sum()) + model.bias)
+    assert np.abs(np.array(got) - want).max() < 0.02
+    curve = [model.score(t) for t in texts]
+    assert np.argsort(curve).tolist() == np.argsort([1 / (1 + np.exp(-(model.slope * g + model.shift))) for g in got]).tolist()
+
+
+def test_too_many_grams_are_left_out_whole(spark, monkeypatch):
+    docs, labels = corpus(spark)
+    monkeypatch.setattr(q, "GRAMS", 1)
+    assert {r.score for r in q.score_documents(docs, labels).collect()} == {0.5}
 
 
 def test_held_out_accuracy(spark):
