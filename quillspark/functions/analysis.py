@@ -68,8 +68,9 @@ def stem_sql(word: str) -> str:
         cut = f"concat({cut}, '{put}')" if put else cut
         rest = by_last.get(suffix[-1], word)
         by_last[suffix[-1]] = f"CASE WHEN endswith({word}, '{suffix}') AND length({word}) >= {n + 2} THEN {cut} ELSE {rest} END"
-    cases = " ".join(f"WHEN '{letter}' THEN {rules}" for letter, rules in by_last.items())
-    return f"CASE right({word}, 1) {cases} ELSE {word} END"
+    # Endings are compared by bytes; taking the last character would count all of them.
+    cases = " ".join(f"WHEN endswith({word}, '{letter}') THEN {rules}" for letter, rules in by_last.items())
+    return f"CASE {cases} ELSE {word} END"
 
 
 def stem(word: Column) -> Column:
@@ -122,8 +123,8 @@ def tokens(text: Column, pattern: str, stop_words: Sequence[str] | None = STOP_W
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower)
     if not stop_words:
         return found
-    gone = F.array(*(F.lit(w.lower()) for w in stop_words))
-    return F.filter(found, lambda t: ~F.array_contains(gone, t))
+    gone = [w.lower() for w in stop_words]
+    return F.filter(found, lambda t: ~t.isin(gone))
 
 
 def standard(text: Column, *, stop_words: Sequence[str] | None = STOP_WORDS, stemming: bool = True) -> Column:

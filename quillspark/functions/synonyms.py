@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -120,3 +120,10 @@ def expand_terms(terms: Column, synonyms: Mapping[str, list[str]] | None = None)
     """Base terms in order, then their other synonyms sorted (all with the same weight)."""
     more = F.array_sort(F.array_distinct(F.flatten(F.transform(terms, lambda t: expand(t, synonyms)))))
     return F.concat(terms, F.array_except(more, terms))
+
+
+def expand_list(terms: Sequence[str], synonyms: Mapping[str, list[str]] | None = None) -> list[str]:
+    """:func:`expand_terms` for terms at hand."""
+    table = synonym_map() if synonyms is None else synonyms
+    more = {w for t in terms for w in table.get(t.lower(), [t.lower()])}
+    return [*terms, *sorted(more - set(terms))]

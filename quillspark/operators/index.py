@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import analysis
+from quillspark.operators.parallel import spread
 
 TEXT, KEYWORD, NUMERIC, STORED = "text", "keyword", "numeric", "stored"
 #: Characters of a stored field.
@@ -80,11 +81,15 @@ def field_words(records: DataFrame, schema: Sequence[Field], doc_id: str = "doc_
     """(doc_id, field, words): every indexed field's words before their last step, in one scan."""
     fields = [f for f in schema if f.kind != STORED]
     pairs = [F.struct(F.lit(f.name).alias("field"), analyzer_of(f).words(F.coalesce(F.col(f.name).cast("string"), F.lit(""))).alias("words")) for f in fields]
-    return records.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(*pairs)).alias("f")).select("doc_id", "f.field", "f.words")
+    used = records.select(F.col(doc_id).alias("doc_id"), *(F.col(f.name) for f in fields if f.name != doc_id))
+    return spread(used).select("doc_id", F.explode(F.array(*pairs)).alias("f")).select("doc_id", "f.field", "f.words")
 
 
-def postings_of(words: DataFrame, schema: Sequence[Field], positions: bool = True) -> DataFrame:
-    """Postings from (doc_id, field, words): words are finished after they are exploded."""
+def postings_of(words: DataFrame, schema: Sequence[Field], positions: bool = True, asked: DataFrame | None = None) -> DataFrame:
+    """Postings from (doc_id, field, words): words are finished after they are exploded.
+
+    With ``asked(term)`` only those terms' postings, taken before anything is grouped.
+    """
     each = words.select("doc_id", "field", F.size("words").alias("doc_length"), F.posexplode("words").alias("position", "word"))
     term = "word"
     steps: dict = {}
@@ -95,6 +100,8 @@ def postings_of(words: DataFrame, schema: Sequence[Field], positions: bool = Tru
         term = f"CASE WHEN field IN ({', '.join(names)}) THEN {step('word')} ELSE {term} END"
     term = F.expr(term)
     each = each.select("field", term.alias("term"), "doc_id", "doc_length", "position")
+    if asked is not None:
+        each = each.join(asked.select("term").distinct(), "term", "left_semi")
     found = [F.count("*").cast("int").alias("tf"), F.max("doc_length").alias("doc_length")]
     if positions:
         found.append(F.array_sort(F.collect_list("position")).alias("positions"))
@@ -124,15 +131,26 @@ def stored_documents(records: DataFrame, schema: Sequence[Field], doc_id: str =
     return records.select(F.col(doc_id).alias("doc_id"), *(stored(f.name) for f in schema if f.name in have and f.name != doc_id))
 
 
-def build(records: DataFrame, schema: Sequence[Field] = DEFAULT_SCHEMA, doc_id: str = "doc_id", positions: bool = True) -> Index:
-    """Plan an index of records that have ``doc_id`` and some of the schema's fields."""
+def fields_of(records: DataFrame, schema: Sequence[Field]) -> tuple[Field, ...]:
+    """The schema's fields that the records have."""
     have = set(records.columns)
-    schema = tuple(f for f in schema if f.name in have)
+    return tuple(f for f in schema if f.name in have)
+
+
+def build(records: DataFrame, schema: Sequence[Field] = DEFAULT_SCHEMA, doc_id: str = "doc_id", positions: bool = True, asked: DataFrame | None = None) -> Index:
+    """Plan an index of records that have ``doc_id`` and some of the schema's fields.
+
+    ``asked(term)`` narrows postings and vocabulary to the terms of a batch of queries:
+    scores are the same, but a word of the corpus that nobody asks for isn't grouped.
+    """
+    schema = fields_of(records, schema)
     words = field_words(records, schema, doc_id)
-    postings = postings_of(words, schema, positions)
+    postings = postings_of(words, schema, positions, asked)
     size = F.size("words")
     stats = length_stats(words.select("field", F.when(size > 0, size).alias("length")))
-    vocabulary = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+    # Counted by the postings' own columns, so that both plans share one exchange of the postings.
+    held = F.col("tf") + F.col("doc_length") + (F.size("positions") if positions else F.lit(0))
+    vocabulary = postings.groupBy("field", "term").agg(F.count_if(held > 0).alias("df"))
     return Index(schema, postings, stored_documents(records, schema, doc_id), stats, vocabulary)
 
 

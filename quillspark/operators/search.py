@@ -8,14 +8,14 @@ execution sees that they are small.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import analysis, ranking, synonyms
-from quillspark.operators.index import Index
+from quillspark.operators.index import Field, Index
 
 
 def top(scored: DataFrame, k: int, by: str = "query_id", score: str = "score") -> DataFrame:
@@ -24,6 +24,11 @@ def top(scored: DataFrame, k: int, by: str = "query_id", score: str = "score") -
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def terms_of(queries: DataFrame, schema: Sequence[Field], expand: bool = True) -> DataFrame:
+    """(term): all that a batch of queries asks an index of this schema for."""
+    return query_terms(queries, Index(tuple(schema), None, None, None, None), expand).select("term")
+
+
 def query_terms(queries: DataFrame, index: Index, expand: bool = True, table: Mapping[str, list[str]] | None = None) -> DataFrame:
     """(query_id, field, term, term_idx, is_base).
 
@@ -47,23 +52,42 @@ def _finished(field) -> Column:
     return F.expr(f"filter(array_distinct({done}), t -> t <> '')")
 
 
+def _pieces(text: Column, n: Column, edits: int, shift: int = 0) -> list[Column]:
+    """``edits + 1`` pieces of a text, each with its number, cut by the length ``n``."""
+    step = F.floor(n / (edits + 1)).cast("int")
+    last = n - edits * step
+    found = [(0, F.left(text, step))] if not shift else []
+    if edits == 2:
+        found.append((1, F.substring(text, step + 1 + shift, step)))
+    if not shift:
+        found.append((edits, F.right(text, last)))
+    return [F.struct(F.lit(edits).alias("edits"), n.cast("int").alias("n"), F.lit(i).alias("part"), p.alias("piece")) for i, p in found]
+
+
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(query_id, field, term, matched, df, distance): for base terms without a posting in their
     field, the nearest term of its vocabulary.
 
-    Candidates meet on (field, length): a term goes to the lengths it may match, so the
-    edit distance runs on an equi-join's pairs, not on all.
+    Candidates meet on a piece of the word: cut in one piece more than the edits allowed,
+    a word has a piece that no edit touched.  It is the other's head, its tail, or (of
+    three) the middle one, moved by one place at most as both other pieces have one edit.
+    The edit distance runs on those pairs alone.
     """
     missing = terms.filter("is_base").join(vocabulary.select("field", "term"), ["field", "term"], "left_anti")
     edits = ranking.allowed_edits(F.col("term"))
-    near = missing.select("query_id", "field", "term", edits.alias("edits")).filter("edits > 0")
-    near = near.select("*", F.explode(F.sequence(F.length("term") - F.col("edits"), F.length("term") + F.col("edits"))).alias("n"))
-    words = vocabulary.select("field", F.col("term").alias("matched"), "df", F.length("term").alias("n"))
-    pairs = near.join(words, ["field", "n"])
+    near = missing.select("query_id", "field", "term", edits.alias("most")).filter("most > 0")
+    near = near.select("*", F.explode(F.sequence(F.length("term") - F.col("most"), F.length("term") + F.col("most"))).alias("m"))
+    term, m = F.col("term"), F.col("m")
+    two = [p for shift in (0, -1, 1) for p in _pieces(term, m, 2, shift)]
+    near = near.select("query_id", "field", "term", F.explode(F.when(F.col("most") == 1, F.array(*_pieces(term, m, 1))).otherwise(F.array(*two))).alias("key"))
+    word, size = F.col("term"), F.length("term")
+    pieces = F.explode(F.array(*_pieces(word, size, 1), *_pieces(word, size, 2))).alias("key")
+    words = vocabulary.select("field", F.col("term").alias("matched"), "df", pieces)
+    pairs = near.select("query_id", "field", "term", "key.*").join(words.select("field", "matched", "df", "key.*"), ["field", "edits", "n", "part", "piece"])
     distance = F.when(F.col("edits") == 1, F.levenshtein("term", "matched", 1)).otherwise(F.levenshtein("term", "matched", 2))
-    best = Window.partitionBy("query_id", "field", "term").orderBy("distance", F.lower("matched"), "matched")
-    found = pairs.withColumn("distance", distance).filter("distance >= 0").withColumn("nth", F.row_number().over(best))
-    return found.filter("nth = 1").select("query_id", "field", "term", "matched", "df", "distance")
+    close = pairs.withColumn("distance", distance).filter("distance >= 0")
+    best = close.groupBy("query_id", "field", "term").agg(F.min(F.struct("distance", F.lower("matched").alias("low"), "matched", "df")).alias("best"))
+    return best.select("query_id", "field", "term", "best.matched", "best.df", "best.distance")
 
 
 def resolve(index: Index, terms: DataFrame, fuzzy: bool = False) -> DataFrame:
@@ -153,25 +177,110 @@ def ask(index: Index, queries: Mapping[int, str], k: int = 20, *, expand: bool =
     by the terms alone.
     """
     spark = index.postings.sparkSession
-    table = spark.createDataFrame(list(queries.items()), "query_id int, text string")
-    terms = query_terms(table, index, expand).collect()
+    table = local_rows(spark, list(queries.items()), "query_id int, text string")
+    # Analysis of a local table is folded by the optimizer: no job runs.
+    words = table.select("query_id", *(analysis.analyze(f.analyzer).words(F.trim(F.coalesce("text", F.lit("")))).alias(f.name) for f in index.text_fields))
+    terms = []
+    for row in words.select("query_id", *(_finished(f).alias(f.name) for f in index.text_fields)).collect():
+        base = {f.name: row[f.name] for f in index.text_fields}
+        count = len(base.get("body", ()))
+        for name, own in base.items():
+            every = synonyms.expand_list(own) if expand else own
+            terms += [(row.query_id, name, t, i, i < count) for i, t in enumerate(every)]
     schema = "query_id int, field string, term string, term_idx int, is_base boolean"
-    asked = spark.createDataFrame(terms, schema)
-    wanted = sorted({t.term for t in terms})
-    narrow = replace(index, vocabulary=index.vocabulary.filter(F.col("term").isin(wanted)))
-    known = resolve(narrow, asked).collect()
-    held = {(r.query_id, r.field, r.term) for r in known}
-    if fuzzy and (lost := [t for t in terms if t.is_base and (t.query_id, t.field, t.term) not in held]):
-        close = fuzzy_terms(spark.createDataFrame(lost, schema), index.vocabulary)
-        known += close.select("query_id", "field", "term", "matched", "df", F.lit(ranking.FUZZY_DISCOUNT).alias("discount")).collect()
-    used = sorted({r.matched for r in known})
-    narrow = replace(index, postings=index.postings.filter(F.col("term").isin(used)))
-    rows = spark.createDataFrame(known, "query_id int, field string, term string, matched string, df bigint, discount double")
-    scored = contributions(narrow, rows, boosts=boosts).groupBy("query_id", "doc_id").agg(F.sum("contribution").alias("score"))
-    several = {t.query_id for t in terms if t.field == "body" and t.is_base and t.term_idx > 0}
-    if phrase and several:
-        scored = phrase_rerank(narrow, table, scored, k)
-    return top(scored, max(k, 0)).select("query_id", "rank", "doc_id", "score")
+    vocabulary = {(r.field, r.term): r.df for r in index.vocabulary.filter(F.col("term").isin(sorted({t[2] for t in terms}))).collect()} if terms else {}
+    known = [(q, field, t, t, vocabulary[field, t], 1.0) for q, field, t, _, _ in terms if (field, t) in vocabulary]
+    if fuzzy and (lost := [t for t in terms if t[4] and (t[1], t[2]) not in vocabulary]):
+        known += _typos(index.vocabulary, lost)
+    used = sorted({k[3] for k in known})
+    postings = index.postings.filter(F.col("term").isin(used))
+    rows = local_rows(spark, known, "query_id int, field string, term string, matched string, df bigint, discount double")
+    scored = contributions(replace(index, postings=postings), F.broadcast(rows), boosts=boosts).groupBy("query_id", "doc_id").agg(F.sum("contribution").alias("score"))
+    cut = min(max(5 * k, 50), 500)
+    best = top(scored, max(k, cut if phrase else 0, 0)).select("query_id", "doc_id", "score").collect()
+    factor = _phrase_factors(index, table, terms, best) if phrase else {}
+    ranked = []
+    for q in {r.query_id for r in best}:
+        own = sorted(((-round(r.score * factor.get((q, r.doc_id), 1.0), 6), r.doc_id, r.score * factor.get((q, r.doc_id), 1.0)) for r in best if r.query_id == q), key=lambda x: x[:2])
+        ranked += [(q, i, doc_id, score) for i, (_, doc_id, score) in enumerate(own[: max(k, 0)], 1)]
+    return local_rows(spark, ranked, f"query_id int, rank int, doc_id {index.postings.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def _typos(vocabulary: DataFrame, lost: Sequence[tuple]) -> list[tuple]:
+    """The nearest term of the vocabulary for each of a few terms: one scan, filtered by distance."""
+    edits = {t[2]: 0 if len(t[2]) <= 2 else 1 if len(t[2]) <= 5 else 2 for t in lost}
+
+    def close(t):
+        e = edits[t[2]]
+        return (F.col("field") == t[1]) & F.length("term").between(len(t[2]) - e, len(t[2]) + e) & (F.levenshtein("term", F.lit(t[2]), e) >= 0)
+
+    asked = [t for t in lost if edits[t[2]]]
+    if not asked:
+        return []
+    one_of_each = {(t[1], t[2]): t for t in asked}
+    hits = [F.when(close(t), F.struct(F.lit(i).alias("i"), F.levenshtein("term", F.lit(t[2])).alias("d"))) for i, t in enumerate(one_of_each.values())]
+    rows = vocabulary.select("term", "df", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("term", "df", "hit.*")
+    best: dict[int, tuple] = {}
+    for r in rows.groupBy("i").agg(F.min(F.struct("d", F.lower("term").alias("low"), "term", "df")).alias("b")).collect():
+        best[r.i] = r.b
+    number = {key: i for i, key in enumerate(one_of_each)}
+    return [(t[0], t[1], t[2], best[i].term, best[i].df, ranking.FUZZY_DISCOUNT) for t in asked if (i := number[t[1], t[2]]) in best]
+
+
+def _phrase_factors(index: Index, queries: DataFrame, terms: Sequence[tuple], best: Sequence) -> dict:
+    """(query_id, doc_id) -> the phrase factor of a few queries' best documents, at most 500 a query."""
+    body = next((f for f in index.text_fields if f.name == "body"), None)
+    if body is None or not best:
+        return {}
+    step = analysis.analyze(body.analyzer).finish_sql
+    words = queries.select("query_id", analysis.analyze(body.analyzer).words(F.trim(F.coalesce("text", F.lit("")))).alias("w"))
+    asked = {r.query_id: r.w for r in words.select("query_id", F.expr(f"transform(w, x -> {step('x')})" if step else "w").alias("w")).collect()}
+    asked = {q: w for q, w in asked.items() if len(w) >= 2 and len(set(w)) == len(w)}
+    docs = {r.doc_id for r in best if r.query_id in asked}
+    if not docs:
+        return {}
+    every = sorted({t for w in asked.values() for t in w})
+    held = index.postings.filter((F.col("field") == "body") & F.col("term").isin(every) & F.col("doc_id").isin(sorted(docs)))
+    places: dict = {}
+    for r in held.select("term", "doc_id", "positions").collect():
+        places.setdefault(r.doc_id, {})[r.term] = r.positions
+    spans = []
+    for n, r in enumerate(best):
+        own = places.get(r.doc_id, {})
+        if all(t in own for t in asked.get(r.query_id, [None])):
+            spans.append((n, shortest_span([own[t] for t in asked[r.query_id]]), len(asked[r.query_id])))
+    factor = local_rows(queries.sparkSession, spans, "n int, span int, terms int").select("n", ranking.phrase_factor(F.col("span"), F.col("terms")).alias("f"))
+    return {(best[r.n].query_id, best[r.n].doc_id): r.f for r in factor.collect()}
+
+
+def shortest_span(places: Sequence[Sequence[int]]) -> int:
+    """Of the stretches that hold a place of every term the shortest one's length."""
+    last: dict[int, int] = {}
+    best = None
+    for place, term in sorted((p, t) for t, own in enumerate(places) for p in own):
+        last[term] = place
+        if len(last) == len(places):
+            span = place - min(last.values()) + 1
+            best = span if best is None else min(best, span)
+    return best
+
+
+def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows at hand as a local table."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    columns = [F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in schema.split(", ")]
+    values = ", ".join("(" + ", ".join(_literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})").select(*columns)
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
 
 
 def with_documents(ranked: DataFrame, documents: DataFrame, k: int | None = None) -> DataFrame:

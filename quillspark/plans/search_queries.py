@@ -69,24 +69,29 @@ def field_length_stats(spark, sf_dir):
     return s.select("field", "documents", "total_terms", F.round("average", 6).alias("average"))
 
 
+def _asked_index(records: DataFrame, schema, queries: DataFrame, expand: bool = False, positions: bool = False) -> ix.Index:
+    """An index of what the queries ask for: enough for all steps but typos, which need every term."""
+    return ix.build(records, schema, positions=positions, asked=se.terms_of(queries, schema, expand))
+
+
 def bm25_body_topk(spark, sf_dir):
-    i = ix.build(_records(spark, sf_dir), _BODY, positions=False)
+    i = _asked_index(_records(spark, sf_dir), _BODY, _queries(spark))
     return _rounded(se.search(i, _queries(spark), 10, expand=False, fuzzy=False, phrase=False))
 
 
 def bm25f_multi_field(spark, sf_dir):
-    i = ix.build(_records(spark, sf_dir), _TWO, positions=False)
+    i = _asked_index(_records(spark, sf_dir), _TWO, _queries(spark), expand=True)
     return _rounded(se.search(i, _queries(spark), 10, expand=True, fuzzy=False, phrase=False))
 
 
 def bm25_batch_queries(spark, sf_dir):
-    i = ix.build(_records(spark, sf_dir), _BODY, positions=False)
     asked = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    i = _asked_index(_records(spark, sf_dir), _BODY, asked)
     return _rounded(se.search(i, asked, 5, expand=False, fuzzy=False, phrase=False))
 
 
 def bm25_legacy_body(spark, sf_dir):
-    return _rounded(se.legacy_search(ix.build(_records(spark, sf_dir), _BODY, positions=False), _queries(spark), 10))
+    return _rounded(se.legacy_search(_asked_index(_records(spark, sf_dir), _BODY, _queries(spark)), _queries(spark), 10))
 
 
 def search_full(spark, sf_dir):
@@ -111,7 +116,7 @@ def phrase_min_span(spark, sf_dir):
 
 
 def phrase_rerank(spark, sf_dir):
-    i = ix.build(_records(spark, sf_dir), _BODY)
+    i = _asked_index(_records(spark, sf_dir), _BODY, _queries(spark), positions=True)
     return _rounded(se.search(i, _queries(spark), 10, expand=False, fuzzy=False, phrase=True))
 
 
@@ -122,8 +127,8 @@ def vocab_prefilter(spark, sf_dir):
 
 
 def snippet_highlight(spark, sf_dir):
-    i = ix.build(_records(spark, sf_dir), _BODY, positions=False)
     asked = _queries(spark)
+    i = _asked_index(_records(spark, sf_dir), _BODY, asked)
     best = se.search(i, asked, 3, expand=False, fuzzy=False, phrase=False)
     terms = se.query_terms(asked, i, expand=False).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term_idx", "term"))).alias("t")).select("query_id", F.transform("t", lambda x: x.term).alias("terms"))
     return se.with_documents(best, i.documents).join(terms, "query_id").select("query_id", "rank", "doc_id", snippets.smart_snippet(200, 100)("body", "terms").alias("snippet"))

@@ -8,15 +8,18 @@ the manifest once per query, so a swap never mixes two versions.
 from __future__ import annotations
 
 import json
+import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators.index import Field, Index
+from quillspark.operators.index import STORED, Field, Index
 from quillspark.operators.records import fingerprints
+from quillspark.operators.search import local_rows
 
 FORMAT = "1"
 #: Segments that are kept at most.
@@ -25,9 +28,11 @@ _TABLES = ("postings", "documents", "field_stats", "vocabulary")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset, a folder of this machine, which is set."""
+    """The session's ``spark.checkpoint.dir``; in local mode, where it is unset, a folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,13 +63,21 @@ def manifest(spark: SparkSession, folder: str) -> dict | None:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _fs(spark, path)
-    part = spark._jvm.org.apache.hadoop.fs.Path(path + ".part")
+    """Put a file in place by one rename over the old one: readers see the old or the new text."""
+    jvm = spark._jvm
+    part, target = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path}.{uuid.uuid4().hex}", path))
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark._jsc.hadoopConfiguration()), spark._jsc.hadoopConfiguration())
+    fs, _ = _fs(spark, path)
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    fs.rename(part, p)
+    option = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    option[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, target, option)
+
+
+def index_fields(index: Index) -> list[str]:
+    return [f.name for f in index.schema if f.kind != STORED]
 
 
 def save(index: Index, folder: str, name: str, created: str, provenance: dict[str, str] | None = None) -> bool:
@@ -76,12 +89,18 @@ def save(index: Index, folder: str, name: str, created: str, provenance: dict[st
     fs, mark = _fs(spark, f"{folder}/{name}/_complete")
     new = not fs.exists(mark)
     if new:
-        # Sorted by field and term, so a point read skips most row groups.
-        index.postings.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").parquet(f"{folder}/{name}/postings")
-        postings = spark.read.parquet(f"{folder}/{name}/postings")
-        postings.groupBy("field", "term").agg(F.count("*").alias("df")).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{folder}/{name}/vocabulary")
+        # Ordered by term, so a point read opens the files and row groups of its terms; the field is the same word's.
+        index.postings.repartitionByRange("term", "field", "doc_id").sortWithinPartitions("term", "field", "doc_id").write.mode("overwrite").parquet(f"{folder}/{name}/postings")
         index.documents.write.mode("overwrite").parquet(f"{folder}/{name}/documents")
-        index.field_stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}/field_stats")
+        # The corpus is analyzed once: what follows comes from the written postings.
+        postings = spark.read.parquet(f"{folder}/{name}/postings")
+        vocabulary = postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+        vocabulary.repartitionByRange("term", "field").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{folder}/{name}/vocabulary")
+        names = index_fields(index)
+        count = spark.read.parquet(f"{folder}/{name}/documents").count()
+        totals = {r.field: r.total for r in spark.read.parquet(f"{folder}/{name}/vocabulary").groupBy("field").agg(F.sum("total").alias("total")).collect()}
+        stats = [(f, count, totals.get(f, 0), totals.get(f, 0) / count) for f in names] if count else []
+        spark.createDataFrame(stats, "field string, documents bigint, total_terms bigint, average double").coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}/field_stats")
         write_text(spark, f"{folder}/{name}/schema.json", json.dumps([asdict(f) for f in index.schema]))
         write_text(spark, f"{folder}/{name}/_complete", created)
     old = manifest(spark, folder) or {}
@@ -101,6 +120,10 @@ def load(spark: SparkSession, folder: str, name: str | None = None) -> Index | N
         return None
     schema = json.loads("\n".join(r.value for r in spark.read.text(f"{folder}/{name}/schema.json").collect()))
     tables = {t: spark.read.parquet(f"{folder}/{name}/{t}") for t in _TABLES}
+    # A row a field of the schema: kept at hand, so that no search reads a file for it.
+    stats = [tuple(r) for r in tables["field_stats"].collect()]
+    tables["field_stats"] = local_rows(spark, stats, "field string, documents bigint, total_terms bigint, average double")
+    tables["vocabulary"] = tables["vocabulary"].select("field", "term", "df")
     return Index(tuple(Field(**f) for f in schema), **tables)
 
 
