@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.operators.parallel import spread
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
@@ -52,8 +54,8 @@ def text_of(name: str = "text") -> Column:
 
 
 def doc_columns(df: DataFrame, *wanted: tuple[str, str]) -> DataFrame:
-    """Only the named columns, as (name, type); extra columns go."""
-    return df.select(*(F.col(f"`{n}`").cast(t).alias(n) for n, t in wanted))
+    """Only the named columns, as (name, type); extra columns go.  A small input is dealt over all cores."""
+    return spread(df.select(*(F.col(f"`{n}`").cast(t).alias(n) for n, t in wanted)))
 
 
 #: Keys that :func:`without_keys` broadcasts at most, of about 70 bytes each.
