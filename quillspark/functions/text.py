@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -177,29 +179,120 @@ def query_words(text: Column) -> Column:
     return F.filter(parts, lambda t: (t != "") & (~t.isin(*KEYWORD_STOPS)))
 
 
+_BLOCK = r"(?s)\A-----\s*\n(.*?)\n-----\s*\n"
+
+
 def front_matter(content: Column) -> Column:
-    """struct(fields, body): the block between lines of five dashes at the head, as flat ``key: value`` pairs.
+    """struct(fields, body): the YAML block between lines of five dashes at the head.
 
-    A block that isn't made of such lines counts as part of the body.
+    Values are text; lists and maps are JSON text.  A block that isn't a YAML map counts as
+    part of the body.  Only rows with a block are parsed.
     """
-    block = F.regexp_extract(content, r"(?s)\A-----\s*\n(.*?)\n-----\s*\n", 1)
-    rest = F.regexp_replace(content, r"(?s)\A-----\s*\n.*?\n-----\s*\n", "")
-    lines = F.filter(F.split(block, "\n"), lambda s: (strip(s) != "") & ~s.startswith("#"))
-    flat = F.forall(lines, lambda s: s.rlike(r"^[\w.-]+:(\s.*)?$"))
-    values = F.transform(lines, lambda s: F.regexp_replace(strip(F.regexp_replace(s, r"^[\w.-]+:", "")), r"""^(["'])(.*)\1$""", "$2"))
-    pairs = F.map_from_entries(F.array_distinct(F.zip_with(F.transform(lines, lambda s: F.regexp_extract(s, r"^([\w.-]+):", 1)), values, lambda k, v: F.struct(k, v))))
+
+    @F.pandas_udf("map<string,string>")
+    def parsed(block: pd.Series) -> pd.Series:
+        return block.map(_yaml_fields)
+
+    block = F.nullif(F.regexp_extract(content, _BLOCK, 1), F.lit(""))
     none = F.create_map().cast("map<string,string>")
-    valid = (block != "") & flat
-    return F.when(valid, F.struct(pairs.alias("fields"), rest.alias("body"))).otherwise(F.struct(none.alias("fields"), content.alias("body")))
+
+    def chosen(fields):
+        rest = F.regexp_replace(content, _BLOCK, "")
+        return F.when(fields.isNotNull(), F.struct(fields.alias("fields"), rest.alias("body"))).otherwise(F.struct(none.alias("fields"), content.alias("body")))
+
+    return F.get(F.transform(F.array(parsed(block)), chosen), 0)
+
+
+def _yaml_fields(block: str | None) -> dict[str, str] | None:
+    """A block's fields as text; None where it isn't a map."""
+    if block is None:
+        return None
+    try:
+        import yaml
+    except ImportError:
+        return _plain_fields(block)
+    try:
+        found = yaml.safe_load(block) or {}
+    except yaml.YAMLError:
+        return None
+    if not isinstance(found, dict):
+        return None
+
+    def shown(v):
+        if isinstance(v, (list, dict)):
+            return json.dumps(v, ensure_ascii=False, default=str, sort_keys=True)
+        return str(v).lower() if isinstance(v, bool) else "" if v is None else v.isoformat() if hasattr(v, "isoformat") else str(v)
+
+    return {str(k): shown(v) for k, v in found.items()}
+
+
+def _plain_fields(block: str) -> dict[str, str] | None:
+    """Without a YAML library: lines of a key and a value, which may be quoted."""
+    out = {}
+    for line in block.split("\n"):
+        if not line.strip() or line.lstrip().startswith("#"):
+            continue
+        found = re.match(r"([\w.-]+):(?:\s+(.*))?$", line.rstrip())
+        if not found:
+            return None
+        value = (found[2] or "").strip()
+        out[found[1]] = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
+    return out
 
 
 def with_front_matter(fields: Column, body: Column) -> Column:
-    """The text with its fields in front, sorted by name."""
-    entries = F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(e.key, F.lit(": "), e.value))
+    """The text with its fields in front, sorted by name, as YAML; values that YAML would read as something else are quoted."""
+
+    def shown(v):
+        plain = v.rlike(r"^[A-Za-z0-9_/.(][^\n#'\"]*$") & ~v.rlike(r": |:$|\s$") & ~v.rlike(r"(?i)^(true|false|yes|no|on|off|null|~|[-+.0-9][0-9_.eE+:-]*)$") & ~v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+        quoted = F.concat(F.lit("'"), F.replace(v, F.lit("'"), F.lit("''")), F.lit("'"))
+        lined = F.to_json(F.array(v))
+        escaped = F.substring(lined, F.lit(2), F.length(lined) - 2)
+        return F.when(v.contains("\n"), escaped).when(plain, v).otherwise(quoted)
+
+    entries = F.transform(F.array_sort(F.map_entries(fields)), lambda e: F.concat(e.key, F.lit(": "), shown(e.value)))
     head = F.concat(F.lit("-----\n"), F.array_join(entries, "\n"), F.lit("\n-----\n"))
     return F.when(F.size(fields) > 0, F.concat(head, body)).otherwise(body)
 
 
+def tags(value: Column) -> Column:
+    """An array of tags from a field: the items of a JSON list, or the text as one tag."""
+    items = F.from_json(value, "array<string>")
+    return F.when(F.coalesce(value, F.lit("")) == "", F.array().cast("array<string>")).when(value.startswith("[") & items.isNotNull(), items).otherwise(F.array(value))
+
+
+def truncated(value: Column, most: int) -> Column:
+    """The first characters, with three dots where there are more."""
+    return F.when(F.length(value) > most, F.concat(F.left(value, F.lit(most)), F.lit("..."))).otherwise(value)
+
+
+def first_lines(markdown: Column, most: int = 320, lines: int = 5, without_headings: bool = True) -> Column:
+    """The first lines that aren't blank (or headings), trimmed, on one line."""
+    kept = F.filter(F.split(markdown, "\n", -1), lambda x: (strip(x) != "") & (~x.startswith("#") if without_headings else F.lit(True)))
+    joined = F.array_join(F.transform(F.slice(kept, 1, lines), strip), " ")
+    return truncated(F.when(F.size(kept) > 0, joined).otherwise(markdown if without_headings else F.lit("")), most)
+
+
+def redacted(key: Column, value: Column, secret: Sequence[str], most: int = 500) -> Column:
+    """A log's value: hidden under some keys, cut where it is long."""
+    return F.when(F.lower(key).isin([s.lower() for s in secret]), "[REDACTED]").otherwise(truncated(value, most))
+
+
+def bounded(content: Column, most: int) -> Column:
+    """struct(text, truncated, original_chars, returned_chars, original_bytes, returned_bytes, sha256) of a content's first characters."""
+    cut = F.left(content, F.lit(most))
+    size = F.length(content)
+    return F.struct(
+        cut.alias("text"),
+        (size > most).alias("truncated"),
+        size.alias("original_chars"),
+        F.least(size, F.lit(most)).alias("returned_chars"),
+        F.octet_length(content).alias("original_bytes"),
+        F.octet_length(cut).alias("returned_bytes"),
+        F.sha2(F.encode(cut, "utf-8"), 256).alias("sha256"),
+    )
+
+
 def character_vector(buckets: int = 16):
     """A light embedding of a text: code points summed by place modulo ``buckets``, of length one."""
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.urls import lookup_candidates
+
 
 def _plain(url: Column) -> Column:
     return F.lower(F.regexp_replace(url, "/+$", ""))
@@ -22,6 +24,16 @@ def by_url(documents: DataFrame, asked: DataFrame, key: str = "page_id") -> Data
     return exact.unionAll(loose).withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth", "__how")
 
 
+def fetch(documents: DataFrame, asked: DataFrame, key: str = "page_id") -> DataFrame:
+    """(asked, documents' columns): the stored document of each asked url, by the first of its
+    candidates that there is; the least key where there are several."""
+    each = asked.select("asked").distinct()
+    named = each.select("asked", F.posexplode(lookup_candidates(F.col("asked"))).alias("__how", "__url"))
+    found = named.join(documents, named["__url"] == documents["url"])
+    order = Window.partitionBy("asked").orderBy("__how", key)
+    return found.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth", "__how", "__url")
+
+
 def fingerprints(records: DataFrame, group: str, key: str, values: Sequence[str], form: str = "") -> DataFrame:
     """(group, documents, fingerprint): SHA-256 over each group's sorted ``key:digest`` lines.
 

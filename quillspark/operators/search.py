@@ -14,7 +14,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions import analysis, ranking, synonyms
+from quillspark.functions import analysis, ranking, snippets, synonyms
 from quillspark.operators.index import Field, Index
 
 
@@ -288,6 +288,16 @@ def with_documents(ranked: DataFrame, documents: DataFrame, k: int | None = None
     return ranked.join(documents, "doc_id")
 
 
+def search_documents(index: Index, queries: DataFrame, k: int = 20, fields: Sequence[str] = ("url", "title"), **options) -> DataFrame:
+    """(query_id, rank, doc_id, score, fields that are stored, snippet): :func:`search` with its documents."""
+    ranked = search(index, queries, k, **options)
+    terms = query_terms(queries, index, expand=False).filter("field = 'body'").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term_idx", "term"))).alias("__t"))
+    rows = with_documents(ranked, index.documents).join(terms, "query_id", "left")
+    have = [f for f in fields if f in index.documents.columns]
+    words = F.coalesce(F.transform("__t", lambda x: x.term), F.array().cast("array<string>"))
+    return rows.withColumn("__terms", words).select("query_id", "rank", "doc_id", "score", *have, snippets.smart_snippet(200, 100)("body", "__terms").alias("snippet"))
+
+
 def legacy_search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, doc_id, score): the body-only engine without expansion.
 

@@ -39,7 +39,18 @@ def url_hash(spark, sf_dir):
 
 def url_markdown_path(spark, sf_dir):
     u = F.col("url")
-    return _pages(spark, sf_dir).select("page_id", urls.markdown_path(u).alias("markdown"), urls.metadata_path(u).alias("metadata"), urls.markdown_mirror(u).alias("mirror"))
+    return _pages(spark, sf_dir).select("page_id", urls.markdown_path(u).alias("markdown"), urls.metadata_path(u).alias("metadata"))
+
+
+def url_markdown_query(spark, sf_dir):
+    """Paths with the query in the name, of urls with one more parameter."""
+    bare = F.regexp_replace("url", "#.*$", "")
+    u = F.concat(bare, F.when(F.contains(bare, F.lit("?")), "&").otherwise("?"), F.lit("b+c=%C3%A9+x&a=1&empty="))
+    return _pages(spark, sf_dir).select("page_id", urls.markdown_path(u, True).alias("markdown"), urls.canonical(u, True).alias("canonical"))
+
+
+def url_mirror(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", urls.markdown_mirror(F.col("url")).alias("mirror"))
 
 
 def url_slug(spark, sf_dir):
@@ -139,8 +150,30 @@ _QUERY = r"regexp_extract(url, '^[^?#]*[?]([^#]*)', 1)"
 _SCHEME = r"lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://)', 1))"
 _U = "u AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages)"
 _SLASHED = f"CASE WHEN string_split(rtrim({_PATH}, '/'), '/')[-1] LIKE '%.%' OR {_PATH} LIKE '%/' THEN {_PATH} ELSE {_PATH} || '/' END"
-_CANON = f"{_SCHEME} || lower({_HOST}) || CASE WHEN {_PATH} = '' THEN '/' ELSE {_SLASHED} END"
-_PAIRS = f"array_to_string(list_sort(list_filter(string_split({_QUERY}, '&'), lambda x: x LIKE '%=%' AND x NOT LIKE 'rg=%')), '&')"
+_ISFILE = r"regexp_matches(lower({p}), '\.(html|htm|pdf|txt|xml|json|yaml|yml|md|rst)$')"
+_CANON = f"{_SCHEME} || lower({_HOST}) || CASE WHEN {_PATH} = '' THEN '/' WHEN {_ISFILE.format(p=_PATH)} OR {_PATH} LIKE '%/' THEN {_PATH} ELSE {_PATH} || '/' END"
+# A query's pairs, decoded and sorted, and encoded again as a form's.
+_DECODED = "list_sort(list_transform(list_filter(string_split({q}, '&'), lambda x: regexp_matches(x, '=.')), lambda x: {{'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(x[strpos(x, '=') + 1:], '+', ' '))}}))"
+_ENCODED = "array_to_string(list_transform({d}, lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&')"
+_PAIRS = _ENCODED.format(d=f"list_filter({_DECODED.format(q=_QUERY)}, lambda x: x.k <> 'rg')")
+
+
+def _safe(part):
+    """A part of a path as a folder's name."""
+    cleaned = f"regexp_replace(regexp_replace(regexp_replace(replace(lower(url_decode({part})), ' ', '-'), '[^a-z0-9._-]', '_', 'g'), '[-_]+', '-', 'g'), '^[-_.]+|[-_.]+$', '', 'g')"
+    return f"list_transform([{cleaned}], lambda n: CASE WHEN n = '' THEN 'index' WHEN length(n) > 100 THEN n[:91] || '-' || sha256(n[101:])[:8] ELSE n END)[1]"
+
+
+def _stored(query):
+    """CTEs that end in ``named(page_id, url, path)``: where each url's text is stored."""
+    suffix = "''"
+    if query:
+        suffix = f"list_transform([array_to_string(list_transform({_DECODED.format(q=_QUERY)}, lambda x: {_safe('x.k')} || '_' || {_safe('x.v')}), '__')], lambda j: CASE WHEN j = '' THEN '' WHEN length('__q__' || j) <= 80 THEN '__q__' || j ELSE '__q__hash_' || sha256(j)[:12] END)[1]"
+    return f"""s AS (SELECT page_id, url, {_safe(f'lower({_HOST})')} AS host, list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS parts, {suffix} AS suffix FROM u),
+        n AS (SELECT page_id, url, host, list_transform(parts[:-2], lambda x: {_safe('x')}) AS folders, coalesce(parts[-1], 'index') AS last, suffix FROM s),
+        f AS (SELECT page_id, url, host, folders, CASE WHEN last LIKE '%.md' THEN last[:-4] || suffix || '.md' WHEN lower(last) LIKE '%.md' THEN last || suffix ELSE last || suffix || '.md' END AS name FROM n),
+        w AS (SELECT *, array_to_string(list_concat([host], folders, [name]), '/') AS whole FROM f),
+        named AS (SELECT page_id, url, CASE WHEN length(whole) <= 200 THEN whole WHEN len(folders) = 0 THEN 'truncated-' || sha256(whole)[:16] || '/' || name ELSE host || '/' || sha256(array_to_string(folders, '/'))[:16] || '/' || name END AS path FROM w)"""
 
 
 def _starts(prefixes):
@@ -168,6 +201,12 @@ SQL = {
     "url_canonical": f"WITH {_U} SELECT page_id, {_CANON} AS canonical FROM u",
     "url_path": f"WITH {_U} SELECT page_id, {_PATH} AS path FROM u",
     "url_hash": f"WITH {_U} SELECT page_id, sha256({_SCHEME} || {_HOST} || {_SLASHED} || CASE WHEN {_PAIRS} <> '' THEN '?' || {_PAIRS} ELSE '' END) || '.md' AS file FROM u",
+    "url_markdown_path": f"WITH {_U}, {_stored(False)} SELECT page_id, path AS markdown, '__docs_metadata/' || regexp_replace(path, '\\.[^./]*$', '.meta.json') AS metadata FROM named",
+    "url_markdown_query": f"WITH u0 AS (SELECT page_id, regexp_replace(coalesce(url, ''), '#.*$', '') AS url FROM pages), u AS (SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'b+c=%C3%A9+x&a=1&empty=' AS url FROM u0), {_stored(True)} SELECT page_id, path AS markdown, {_CANON} || list_transform([{_ENCODED.format(d=_DECODED.format(q=_QUERY))}], lambda x: CASE WHEN x = '' THEN '' ELSE '?' || x END)[1] AS canonical FROM named",
+    "url_mirror": f"""WITH {_U}, m AS (SELECT page_id, {_SCHEME} AS head, {_HOST} AS host, rtrim({_PATH}, '/') AS bare FROM u),
+        x AS (SELECT *, string_split(bare, '/')[-1] AS last, lower(regexp_extract(string_split(bare, '/')[-1], '\\.([^.]*)$', 1)) AS ext FROM m)
+        SELECT page_id, CASE WHEN head IN ('http://', 'https://') AND host <> '' AND bare <> '' AND NOT regexp_matches(bare, '[\\s<>\\[\\]()]|%20|%5B|%3C') THEN
+            head || host || CASE WHEN bare LIKE '%.md' THEN bare WHEN NOT contains(last, '.') THEN bare || '.md' WHEN ext IN ('html', 'htm', 'ipynb') THEN regexp_replace(bare, '\\.[^.]*$', '') || '.md' END END AS mirror FROM x""",
     "language_detect": f"WITH {_U} SELECT page_id, CASE {_LANG} ELSE 'en' END AS language FROM u",
     "html_title": f"WITH {_U} SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM u",
     "link_frontier": f"""WITH {_U}, l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref=["'']([^"''#]+)', 1)) AS link FROM u) SELECT link, count(DISTINCT page_id) AS pages FROM l GROUP BY link""",
@@ -211,5 +250,5 @@ SQL = {
         SELECT query_id, vec_id, rank, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, vec_id) AS rank FROM s WHERE similarity >= 0.1) WHERE rank <= 5""",
 }
 
-NAMES = ("url_allow", "url_canonical", "url_path", "url_hash", "url_markdown_path", "url_slug", "language_detect", "html_extract", "html_title", "link_frontier", "headings_extract", "doc_by_url", "keyword_extract", "query_analyze", "dedupe_canonical", "corpus_fingerprint", "orphan_audit", "query_mining", "tenant_find", "cosine_topk", "character_embedding", "clean_text")
+NAMES = ("url_allow", "url_canonical", "url_path", "url_hash", "url_markdown_path", "url_markdown_query", "url_mirror", "url_slug", "language_detect", "html_extract", "html_title", "link_frontier", "headings_extract", "doc_by_url", "keyword_extract", "query_analyze", "dedupe_canonical", "corpus_fingerprint", "orphan_audit", "query_mining", "tenant_find", "cosine_topk", "character_embedding", "clean_text")
 FUNCTIONS = {n: globals()[n] for n in NAMES}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,7 +85,7 @@ def records(documents: DataFrame) -> DataFrame:
         *(F.array_join(text.headings(body, n), "\n").alias(c) for c, n in levels.items()),
         body.alias("body"),
         F.col("rel_path").alias("path"),
-        F.coalesce(F.try_element_at("f.fields", F.lit("tags")), F.lit("")).alias("tags"),
+        F.array_join(text.tags(F.try_element_at("f.fields", F.lit("tags"))), " ").alias("tags"),
         text.excerpt(body).alias("excerpt"),
         text.language(url, given).alias("language"),
         F.unix_timestamp(stamp).alias("timestamp"),
@@ -115,13 +116,32 @@ def changed_sitemaps(spark: SparkSession, path: str, seen: DataFrame) -> DataFra
     return now.join(seen.select("path", "sha256"), ["path", "sha256"], "left_anti")
 
 
-def blocked(status: Column, body: Column, statuses: Sequence[int] = (403, 407, 429, 503), marks: Sequence[str] = ("captcha", "access denied", "unusual traffic")) -> Column:
-    """Whether a response turned the reader away, by status or by marks in the first 8 KiB."""
+# Statuses of a reader turned away, of a server in trouble, and the marks of a page that says so.
+BLOCKED_STATUSES = (403, 407, 408, 425, 429)
+TROUBLE_STATUSES = (500, 502, 503, 504)
+TRAFFIC_MARKS = ("google.com/sorry", "our systems have detected unusual traffic", "unusual traffic from your computer network", "to continue, please type the characters below")
+
+
+def blocked_body(body: Column) -> Column:
+    """Whether a page's first 8192 characters say that the reader is taken for a machine."""
     head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 8192))
-    found = F.lit(False)
-    for m in marks:
-        found = found | F.contains(head, F.lit(m))
-    return status.isin(*statuses) | found
+
+    def has(*marks):
+        return reduce(lambda a, b: a | b, (F.contains(head, F.lit(m)) for m in marks))
+
+    sorry = has(*TRAFFIC_MARKS) | (has("<title>sorry") & has("google"))
+    attention = has("attention required! | cloudflare") & has("ray id")
+    return sorry | attention | (has("recaptcha") & has("unusual traffic", "automated queries"))
+
+
+def blocked(status: Column, body: Column) -> Column:
+    """Whether a response asks for another way to the page: by its status, or by what it says."""
+    return F.coalesce(status.isin(*BLOCKED_STATUSES, *TROUBLE_STATUSES), F.lit(False)) | blocked_body(body)
+
+
+def usable_probe(status: Column, body: Column, least: int = 100) -> Column:
+    """Whether a response shows that the way works: status 200, more than ``least`` bytes, not turned away."""
+    return F.coalesce((status == 200) & (F.octet_length(body) > least), F.lit(False)) & ~blocked_body(body)
 
 
 def write_documents(rows: DataFrame, folder: str, key: str = "url") -> None:

@@ -45,19 +45,24 @@ def windowed_history(events: DataFrame, seconds: int = 60, late: str = "10 minut
     return events.withWatermark("event_at", late).groupBy(w.alias("w")).agg(*bucket_counts()).select(F.col("w.start").alias("bucket"), "total", "success", "failed", "discovered", "fetched")
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what its source holds now; its rows as a table in the shared folder."""
+def drained(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
+    """Run a stream over what its source holds now; its rows as a table in the shared folder.
+
+    With a ``folder`` of its own the stream goes on where its last run ended.  Every
+    batch has a part of the table under its number, so a batch that is run again
+    replaces what it wrote.
+    """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/rows")
+        part = "all" if mode == "complete" else f"batch-{number:09d}"
+        batch.write.mode("overwrite").parquet(f"{base}/rows/{part}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    empty = spark.createDataFrame([], stream.schema)
-    empty.write.mode("append").parquet(f"{base}/rows")
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{base}/rows/none")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{base}/rows")
 
 
 def history_of_files(spark: SparkSession, path: str, seconds: int = 60) -> DataFrame:
@@ -93,7 +98,7 @@ def url_state_machine(events: DataFrame, most_days: int = 30, default_days: int
         state.update((retries, status, due))
         if status != "pending" and due * 1000 > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(int(due * 1000))
-        yield pd.DataFrame({"canonical_url": [key[0]], "last_status": [status], "retry_count": [retries], "next_due_at": [pd.Timestamp(due, unit="s")]})
+        yield pd.DataFrame({"canonical_url": [key[0]], "last_status": [status], "retry_count": [retries], "next_due_at": [pd.Timestamp(round(due * 1e6), unit="us")]})
 
     return events.withWatermark("event_at", "1 hour").groupBy("canonical_url").applyInPandasWithState(advance, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 

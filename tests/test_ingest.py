@@ -29,8 +29,33 @@ def test_front_matter(spark):
     for plain in ("no block", "-----\n[broken\n-----\nx"):
         row = one(spark, plain, text.front_matter)
         assert row["fields"] == {} and row["body"] == plain
-    out = one(spark, "# x", lambda c: text.with_front_matter(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")), c))
-    assert out == "-----\na: 1\nb: 2\n-----\n# x"
+    fields = F.create_map(*(F.lit(x) for x in ("b", "2", "a", "plain text", "c", "x: y", "d", "it's")))
+    out = one(spark, "# x", lambda c: text.with_front_matter(fields, c))
+    assert out == "-----\na: plain text\nb: '2'\nc: 'x: y'\nd: 'it''s'\n-----\n# x"
+    assert one(spark, out, text.front_matter)["fields"] == {"a": "plain text", "b": "2", "c": "x: y", "d": "it's"}
+
+
+def test_front_matter_with_lists_and_maps(spark):
+    doc = "-----\ntags:\n  - one\n  - two words\nmeta:\n  k: 1\nflag: true\na: 1\na: 2\n-----\nbody"
+    fields = one(spark, doc, text.front_matter)["fields"]
+    assert fields == {"tags": '["one", "two words"]', "meta": '{"k": 1}', "flag": "true", "a": "2"}
+    assert one(spark, fields["tags"], text.tags) == ["one", "two words"]
+    assert one(spark, "single", text.tags) == ["single"] and one(spark, None, text.tags) == []
+    assert text._plain_fields("a: 1\n# note\nb: 'x y'") == {"a": "1", "b": "x y"} and text._plain_fields("- item") is None
+
+
+def test_paths_of_urls(spark):
+    path = lambda u, q=False: one(spark, u, lambda c: urls.markdown_path(c, q))
+    assert path("https://docs.djangoproject.com/en/5.2/intro/tutorial01/") == "docs.djangoproject.com/en/5.2/intro/tutorial01.md"
+    assert path("https://docs.python.org/3/library/asyncio.html") == "docs.python.org/3/library/asyncio.html.md"
+    assert path("https://example.com") == "example.com/index.md"
+    assert path("https://e.com/a/b.md?x=1") == "e.com/a/b.md"
+    assert path("https://e.com:80/My%20Dir/__X__/v1.2?x") == "e.com-80/my-dir/x/v1.2.md"
+    assert path("https://e.com/x?b=2&a=1+z&c=", True) == "e.com/x__q__a_1-z__b_2.md"
+    assert path("https://e.com/x?k=" + "v" * 100, True).startswith("e.com/x__q__hash_") and len(path("https://e.com/x?k=" + "v" * 100, True)) == 32
+    assert path("https://e.com/" + "y" * 300) == "truncated-" + __import__("hashlib").sha256(("e.com/" + "y" * 300 + ".md").encode()).hexdigest()[:16] + "/" + "y" * 300 + ".md"
+    assert one(spark, "https://docs.djangoproject.com/en/5.2/intro/tutorial01/", urls.metadata_path) == "__docs_metadata/docs.djangoproject.com/en/5.2/intro/tutorial01.meta.json"
+    assert one(spark, "https://d.com/x?a&b=%20~*", lambda c: urls.canonical(c, True)) == "https://d.com/x/?b=+~%2A"
 
 
 def test_language(spark):
