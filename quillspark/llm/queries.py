@@ -93,7 +93,29 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+_TEMPLATES = ", ".join(f"({i}, '{label}', {base}, string_split('{text}', ' '))" for i, (label, text, base) in enumerate([(*p, True) for p in license_scan.PHRASES] + [(*n, False) for n in license_scan.NOTICES]))
+
 _SQL = {
+    "op9_license_scan": rf"""
+        WITH w AS (
+            SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '{license_scan.WORD}') AS words FROM documents
+        ), t(tid, label, base, words) AS (VALUES {_TEMPLATES}),
+        g AS (SELECT tid, label, base, len(words) - 1 AS grams, i - 1 AS tpos, words[i] AS a, words[i + 1] AS b FROM t, unnest(range(1, len(words))) AS r(i)),
+        e AS (SELECT uid, i - 1 AS pos, words[i] AS a, words[i + 1] AS b FROM w, unnest(range(1, len(words))) AS r(i)),
+        votes AS (SELECT uid, tid, label, base, grams, pos - tpos AS diagonal, list(DISTINCT tpos) AS held FROM e JOIN g USING (a, b) GROUP BY ALL),
+        steps AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER o > {license_scan.STEP}, true) THEN 1 ELSE 0 END AS new FROM votes WINDOW o AS (PARTITION BY uid, tid ORDER BY diagonal)),
+        islands AS (SELECT *, sum(new) OVER (PARTITION BY uid, tid ORDER BY diagonal) AS island FROM steps),
+        spans AS (SELECT uid, label, base, len(list_distinct(flatten(list(held)))) / grams AS cover, min(diagonal) AS start FROM islands GROUP BY uid, tid, label, base, grams, island),
+        found AS (
+            SELECT uid, count(*) FILTER (base AND cover = 1) AS n_base, min(start) FILTER (base AND cover = 1) AS first_word, max(start) FILTER (base AND cover = 1) AS last_word,
+                   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND cover = 1) AS base_labels,
+                   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (cover >= CASE WHEN base THEN 1 ELSE {license_scan.COVER} END) AS labels,
+                   max(CASE WHEN cover >= CASE WHEN base THEN 1 ELSE {license_scan.COVER} END THEN 1.0 WHEN NOT base THEN cover ELSE 0.0 END) AS score
+            FROM spans GROUP BY uid
+        )
+        SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+        FROM w LEFT JOIN found USING (uid)
+    """,
     "op1_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
