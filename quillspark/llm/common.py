@@ -29,7 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{tables_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are, below the shared folder."""
+    return f"{shared_dir(spark)}/quillspark-{spark.sparkContext.applicationId}"
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are stored."""
+    remove(spark, tables_dir(spark))
 
 
 def written(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
