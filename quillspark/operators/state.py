@@ -7,6 +7,7 @@ so results repeat.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,14 +114,17 @@ def status_snapshot(urls: DataFrame, queue: DataFrame, now: Column) -> DataFrame
 
 def scheduler_stats(urls: DataFrame, now: Column, sample: int = 5) -> DataFrame:
     """One row: the scheduler's own count, where pending is all that isn't a success."""
-    failure = F.when(F.col("last_status") == "failed", F.struct("url", "last_failure_reason"))
-    return urls.agg(
+    counts = urls.agg(
         F.count("*").alias("total"),
         _count(F.col("next_due_at") <= now).alias("due"),
         _count(F.col("last_status") == "success").alias("success"),
         _count(F.col("last_status") == "failed").alias("failed"),
-        F.slice(F.array_sort(F.collect_list(failure)), 1, sample).alias("failure_sample") if sample else F.lit(None).alias("failure_sample"),
     ).withColumn("pending", F.greatest(F.col("total") - F.col("success"), F.lit(0)))
+    if not sample:
+        return counts.withColumn("failure_sample", F.lit(None))
+    # The first few only: a top-k, whatever the number of failures.
+    some = urls.filter("last_status = 'failed'").select("url", "last_failure_reason").orderBy("url", "last_failure_reason").limit(sample)
+    return counts.crossJoin(some.agg(F.array_sort(F.collect_list(F.struct("url", "last_failure_reason"))).alias("failure_sample")))  # one row
 
 
 def due_sample(urls: DataFrame, n: int = 5) -> DataFrame:
@@ -255,18 +259,19 @@ def crawl_needed(entry_mode: Column, enabled: Column, force: Column, tracked: Co
     return ~entry_mode & enabled & (force | (tracked == 0) | (cached <= filtered))
 
 
-def crawl_frontier(pages: DataFrame, roots: DataFrame, links: DataFrame, most: int = 20) -> DataFrame:
+def crawl_frontier(pages: DataFrame, roots: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
     """(url, depth): what is reached from the roots over ``links(source, target)``, breadth first.
 
-    Each round joins the frontier to the links and takes away what was visited; a round
-    is written out, so the plan doesn't grow.
+    Each round joins the frontier to the links and takes away what was visited; its new
+    urls alone are written out.  It ends when a round finds none, or after ``most`` rounds.
     """
-    seen = roots.select("url").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
-    for depth in range(1, most + 1):
-        after = frontier.join(links, frontier["url"] == links["source"]).select(F.col("target").alias("url")).distinct()
-        after = after.join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+    rounds = [roots.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()]
+    while most is None or len(rounds) <= most:
+        seen = reduce(DataFrame.unionAll, rounds)
+        after = rounds[-1].join(links, F.col("url") == F.col("source")).select(F.col("target").alias("url")).distinct()
+        after = after.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(len(rounds))).checkpoint()
         if after.isEmpty():
             break
-        seen, frontier = seen.unionAll(after).checkpoint(), after
-    return seen.join(pages.select("url").distinct(), "url", "left_semi") if pages is not None else seen
+        rounds.append(after)
+    found = reduce(DataFrame.unionAll, rounds)
+    return found.join(pages.select("url").distinct(), "url", "left_semi") if pages is not None else found

@@ -196,6 +196,13 @@ def _whole(pattern, of="t", chars=r"[\p{L}\p{N}_]+"):
 
 _VERBS = " || ".join(_whole(v + r"[\p{L}\p{N}_]+", "lower(t)") for v in text.VERB_STEMS)
 
+_TRIM = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+_UNESCAPED = "replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+_DROPPED = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "svg"))
+_BODY_TEXT = f"""bare AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?is){_DROPPED}', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM u),
+        body AS (SELECT page_id, html, CASE WHEN regexp_extract(h, '(?is)<body[^>]*>(.*)', 1) <> '' THEN regexp_extract(h, '(?is)<body[^>]*>(.*)', 1) ELSE h END AS h FROM bare),
+        shown AS (SELECT page_id, html, array_to_string(list_filter(list_transform(regexp_split_to_array(h, '<[^>]*>'), lambda x: {_TRIM.format(x=_UNESCAPED.format(x='x'))}), lambda x: x <> ''), chr(10)) AS body FROM body)"""
+
 SQL = {
     "url_allow": f"WITH {_U} SELECT page_id, url <> '' AND {_ALLOW} AS crawl, CASE WHEN trim(url) = '' THEN false ELSE {_ALLOW} END AS record FROM u",
     "url_canonical": f"WITH {_U} SELECT page_id, {_CANON} AS canonical FROM u",
@@ -207,6 +214,21 @@ SQL = {
         x AS (SELECT *, string_split(bare, '/')[-1] AS last, lower(regexp_extract(string_split(bare, '/')[-1], '\\.([^.]*)$', 1)) AS ext FROM m)
         SELECT page_id, CASE WHEN head IN ('http://', 'https://') AND host <> '' AND bare <> '' AND NOT regexp_matches(bare, '[\\s<>\\[\\]()]|%20|%5B|%3C') THEN
             head || host || CASE WHEN bare LIKE '%.md' THEN bare WHEN NOT contains(last, '.') THEN bare || '.md' WHEN ext IN ('html', 'htm', 'ipynb') THEN regexp_replace(bare, '\\.[^.]*$', '') || '.md' END END AS mirror FROM x""",
+    "html_extract": f"""WITH {_U}, {_BODY_TEXT} SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
+        array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), lambda x: {_TRIM.format(x="regexp_replace(" + _UNESCAPED.format(x="regexp_replace(x, '<[^>]*>', '', 'g')") + ", '\\s+', ' ', 'g')")}), lambda x: x <> ''), chr(10)) AS h1,
+        length(body)::INTEGER AS chars, len(regexp_split_to_array({_TRIM.format(x='body')}, '\\s+')) >= 150 AS accepted FROM shown""",
+    "clean_text": f"""WITH {_U}, {_BODY_TEXT},
+        c AS (SELECT page_id, body, regexp_replace(regexp_replace(regexp_replace(body, '(?m)^[ \\t\\x0b\\x0c\\r]+$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g') AS clean, string_split(replace(body, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM shown),
+        l AS (SELECT page_id, body, clean, list_transform(ls, lambda x: CASE WHEN {_TRIM.format(x='x')} = '' THEN '' ELSE x END) AS ls FROM c),
+        k AS (SELECT page_id, body, clean, list_filter(ls, lambda x, i: x <> '' OR i = 1 OR ls[greatest(i - 1, 1)] <> '') AS ls FROM l),
+        d AS (SELECT page_id, body, clean, array_to_string(list_transform(ls, lambda x: regexp_extract(x, '^ *') || CASE WHEN starts_with(ltrim(x, ' '), '```') THEN ltrim(x, ' ') ELSE regexp_replace(ltrim(x, ' '), '([^` ]|^) {{3,}}', '\\1  ', 'g') END), chr(10)) AS direct FROM k)
+        SELECT page_id, sha256({_TRIM.format(x='clean')}) AS clean_sha, sha256(CASE WHEN {_TRIM.format(x='body')} = '' THEN '' WHEN direct LIKE '%' || chr(10) THEN direct ELSE direct || chr(10) END) AS direct_sha FROM d""",
+    "character_embedding": f"""WITH {_U}, s AS (SELECT page_id, url, lower(trim(translate({_PATH}, '-_', '  '))) AS p, regexp_extract(url, '#(.*)$', 1) AS ref FROM u),
+        g AS (SELECT page_id, CASE WHEN ref <> '' THEN trim(p || ' #' || lower(ref)) WHEN p <> '' THEN p ELSE lower(url) END AS slug FROM s),
+        h AS (SELECT page_id, CASE WHEN {_TRIM.format(x='slug')} = '' THEN 'unknown' ELSE {_TRIM.format(x='slug')} END AS slug FROM g),
+        v AS (SELECT page_id, list_transform(range(16), lambda b: list_sum(list_transform(range(b, greatest(length(slug), b + 1), 16), lambda i: CASE WHEN regexp_matches(slug[i + 1], '[\\p{{L}}\\p{{N}}]') THEN unicode(slug[i + 1]) ELSE 0 END))::DOUBLE) AS v FROM h),
+        n AS (SELECT page_id, v, CASE WHEN list_sum(list_transform(v, lambda x: x * x)) = 0 THEN 1.0 ELSE sqrt(list_sum(list_transform(v, lambda x: x * x))) END AS norm FROM v)
+        SELECT page_id, list_transform(v, lambda x: round(x / norm, 6)) AS embedding FROM n""",
     "language_detect": f"WITH {_U} SELECT page_id, CASE {_LANG} ELSE 'en' END AS language FROM u",
     "html_title": f"WITH {_U} SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM u",
     "link_frontier": f"""WITH {_U}, l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref=["'']([^"''#]+)', 1)) AS link FROM u) SELECT link, count(DISTINCT page_id) AS pages FROM l GROUP BY link""",
