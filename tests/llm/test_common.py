@@ -2,16 +2,14 @@ from quillspark.llm import common
 
 
 def test_intermediate_tables_can_be_removed(spark):
-    df = common.written(spark.range(5), "numbers")
-    assert df.count() == 5
-    folder = common.tables_dir(spark)
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    assert fs.exists(path)
-    common.remove(spark, df.inputFiles()[0].rsplit("/", 1)[0])
-    kept = common.written(spark.range(3), "numbers")
-    assert kept.inputFiles()[0].startswith(folder.replace("file://", "file:///").replace("////", "///")[:8])
+    path = common.new_path(spark, "numbers")
+    assert path.startswith(common.tables_dir(spark) + "/") and spark.sparkContext.applicationId in path
+    assert common.written(spark.range(5), "numbers", path).count() == 5
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.exists(p)
+    common.remove(spark, path)
+    assert not fs.exists(p)
 
 
 def test_unused_names(spark):
