@@ -1,4 +1,5 @@
 import datetime as dt
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,7 +40,7 @@ def test_each_outcome(spark):
 
 
 def test_events_are_appended(spark):
-    folder = f"{segments.shared_folder(spark)}/events-test"
+    folder = f"{segments.shared_folder(spark)}/events-{uuid.uuid4().hex}"
     e = spark.createDataFrame([("a", NOW, "cache_hit")], "canonical_url string, event_at timestamp_ntz, event_type string")
     pr.append_events(e, folder)
     pr.append_events(e, folder)
