@@ -9,6 +9,7 @@ from quillspark.operators import processing as pr
 from quillspark.operators import records as rec
 from quillspark.operators import search as se
 from quillspark.operators import index as ix
+from quillspark.plans import ingest_queries as iq
 from quillspark.plans import search_queries as sq
 from quillspark.plans import state_queries as stq
 from quillspark.streaming import events as stream
@@ -236,5 +237,16 @@ SQL = {
         SELECT canonical_url, arg_max(n, r)::INTEGER AS retry_count, arg_max(due, r) AS next_due_at FROM f GROUP BY canonical_url""",
 }
 
-NAMES = (*SQL, "blacklist_sweep", "fetch_documents")
+_ASKED = "CASE page_id % 3 WHEN 0 THEN url || '#top' WHEN 1 THEN rtrim(url, '/') ELSE rtrim(url, '/') || '/' END"
+SQL["fetch_documents"] = f"""WITH {_PAGES}, a AS (SELECT DISTINCT {_ASKED} AS url FROM p),
+    c AS (SELECT url AS asked, rtrim(regexp_replace(url, '#.*$', ''), '/') AS bare, {iq._CANON} AS canon FROM a),
+    l AS (SELECT asked, unnest([asked, bare, bare || '/', canon, bare || '.html', bare || '/index.html', bare || '.md']) AS u, unnest(range(7)) AS how FROM c),
+    f AS (SELECT asked, page_id, html, row_number() OVER (PARTITION BY asked ORDER BY how, page_id) AS r FROM l JOIN p ON p.url = l.u)
+    SELECT asked, page_id, sha256(html) AS body_sha FROM f WHERE r = 1"""
+SQL["blacklist_sweep"] = f"""WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages), {iq._stored(False)}
+    SELECT 'documents' AS kind, count(*) FILTER (NOT {_ALLOWED}) AS removed FROM u
+    UNION ALL SELECT 'folders', count(*) FILTER (starts_with(path, 'www.example.org/en/') OR starts_with(path, 'news.example.com/')) FROM named
+    UNION ALL SELECT 'urls', count(DISTINCT user_id) FILTER (user_id % 4 = 0) FROM events"""
+
+NAMES = tuple(SQL)
 FUNCTIONS = {n: globals()[n] for n in NAMES}
