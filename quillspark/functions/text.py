@@ -310,3 +310,30 @@ def character_vector(buckets: int = 16):
         return text.map(one)
 
     return embed
+
+
+def wrapped(text: Column, width: int = 76) -> Column:
+    """A text's words in lines of at most ``width`` bytes, as an array; longer words stand alone.
+
+    A text that fits is one line as it is; null gives null.
+    """
+
+    def lines(value: str) -> list[str]:
+        if len(value.encode()) <= width:
+            return [value]
+        out, used = [], width
+        for word in value.split():
+            size = len(word.encode())
+            if used + 1 + size <= width:
+                out[-1].append(word)
+                used += 1 + size
+            else:
+                out.append([word])
+                used = size
+        return [" ".join(line) for line in out]
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lines, na_action="ignore")
+
+    return run(text)

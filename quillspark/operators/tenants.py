@@ -112,3 +112,20 @@ def overlay(found: DataFrame, configured: DataFrame) -> DataFrame:
     rows = joined.select("codename", *(F.coalesce(f"c.{c}", f"f.{c}").alias(c) for c in both), *(F.col(f"f.{c}") for c in only), *(F.col(f"c.{c}") for c in more))
     named = configured.select("codename", F.lit(True).alias("__named"))
     return rows.crossJoin(some).join(named, "codename", "left").filter("__some = 0 OR __named").drop("__some", "__named")  # one row
+
+
+def listing(tenants: DataFrame) -> DataFrame:
+    """(codename, description) of all tenants by codename; the description begins with the display name."""
+    return tenants.select("codename", F.concat_ws(" - ", "display_name", "description").alias("description")).orderBy("codename")
+
+
+def describe(tenants: DataFrame, asked: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """All that is known of each asked codename, once each: ``found`` is false for one that isn't a tenant.
+
+    ``documents``: (codename, documents) where counts are at hand; none counts as zero.
+    """
+    rows = asked.select("codename").distinct().join(tenants.withColumn("__there", F.lit(True)), "codename", "left")
+    rows = rows.withColumn("found", F.coalesce("__there", F.lit(False))).drop("__there")
+    if documents is None:
+        return rows
+    return rows.join(documents.select("codename", "documents"), "codename", "left").fillna(0, ["documents"])

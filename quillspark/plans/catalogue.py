@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import ingest_queries, processing_queries, search_queries, state_queries
+from quillspark.plans import ingest_queries, job_queries, processing_queries, search_queries, state_queries
 
-_PARTS = (search_queries, ingest_queries, state_queries, processing_queries)
+_PARTS = (search_queries, ingest_queries, state_queries, processing_queries, job_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
