@@ -155,3 +155,13 @@ def test_tenants(spark):
     got = {(r.query_id, r.codename): r.s for r in t.crossJoin(asked).select("query_id", "codename", score.alias("s")).collect()}
     assert got[1, "react-native"] == pytest.approx(1.02) and got[1, "react"] == pytest.approx(1.01)
     assert got[2, "react"] == pytest.approx(0.1)
+
+
+def test_acronyms_at_a_start(spark, tmp_path):
+    from quillspark.plans.ingest_queries import keyword_extract
+
+    rows = [(1, "One end. SS follows the API.\nJWT too. THE end"), (2, None)]
+    spark.createDataFrame(rows, "item_id int, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.acronyms for r in keyword_extract(spark, f"file://{tmp_path}").collect()}
+    assert got == {1: "SS API JWT", 2: ""}
+    assert spark.range(1).select(text.acronyms(F.lit(rows[0][1])).alias("a")).first().a == ["API"]
