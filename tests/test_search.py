@@ -171,3 +171,18 @@ def test_federated(spark):
 
     rows = federated_search(spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r["rank"] <= 10 for r in rows)
+
+
+def test_postings_are_made_where_records_are_read(spark):
+    docs = [(1, None, "It's a b1 b1"), (2, "", "--"), (3, "The İx ΑΣ. x_1", None), (4, "ab " * 7, "walking walked, walks " * 3)]
+    index = ix.build(spark.createDataFrame(docs, DOCS), SCHEMA)
+    plan = index.postings._jdf.queryExecution().optimizedPlan().toString() + index.postings._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Aggregate" not in plan
+    want = {}
+    for i, title, body in docs:
+        for field, text in (("title", title), ("body", body)):
+            found = [t for t in one(spark, analysis.analyze()(F.lit(text or "")))]
+            for p, t in enumerate(found):
+                want.setdefault((field, t, i, len(found)), []).append(p)
+    got = {(r.field, r.term, r.doc_id, r.doc_length): (r.tf, r.positions) for r in index.postings.collect()}
+    assert got == {k: (len(v), v) for k, v in want.items()}
