@@ -186,3 +186,22 @@ def test_postings_are_made_where_records_are_read(spark):
                 want.setdefault((field, t, i, len(found)), []).append(p)
     got = {(r.field, r.term, r.doc_id, r.doc_length): (r.tf, r.positions) for r in index.postings.collect()}
     assert got == {k: (len(v), v) for k, v in want.items()}
+
+
+def test_a_scan_is_a_search(spark):
+    from quillspark.operators import scan
+
+    docs = [*corpus(11, 150), (150, None, None), (151, "token", "auth token auth server"), *((200 + i, "", "alpha beta alpha") for i in range(70))]
+    records = spark.createDataFrame(docs, DOCS).repartition(7)
+    asked = spark.createDataFrame(list(enumerate(["routing servers", "tokn cofig", "auth token", "alpha beta", "zzzzzzzz", ""])), "query_id int, text string")
+    index = ix.build(records, SCHEMA).__class__(SCHEMA, *(t.cache() for t in (lambda i: (i.postings, i.documents, i.field_stats, i.vocabulary))(ix.build(records, SCHEMA))))
+    for options in ({}, {"expand": False, "fuzzy": False, "phrase": False}, {"k": 60, "boosts": {"body": 2.0}}):
+        k = options.get("k", 5)
+        rest = {n: v for n, v in options.items() if n != "k"}
+        found = scan.rank(records, SCHEMA, asked, k, **rest)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan  # no posting meets a query as a row
+        want = {(r.query_id, r["rank"], r.doc_id): r.score for r in se.search(index, asked, k, **rest).collect()}
+        assert want and {(r.query_id, r["rank"], r.doc_id): r.score for r in found.collect()} == pytest.approx(want)
+    want = se.fuzzy_terms(se.query_terms(asked, index), index.vocabulary).collect()
+    assert want and sorted(scan.typos(records, SCHEMA, asked).collect()) == sorted(want)
