@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text, urls
 from quillspark.operators import processing as pr
 from quillspark.operators import records as rec
-from quillspark.operators import search as se
-from quillspark.operators import index as ix
+from quillspark.operators import scan
 from quillspark.plans import ingest_queries as iq
 from quillspark.plans import search_queries as sq
 from quillspark.plans import state_queries as stq
@@ -159,8 +158,7 @@ def fetch_documents(spark, sf_dir):
 
 def search_stored(spark, sf_dir):
     """The full search's rows with what is stored of their documents."""
-    i = ix.build(sq._records(spark, sf_dir), sq._TWO)
-    rows = se.search_documents(i, sq._queries(spark), 10, fields=("title", "body"))
+    rows = scan.rank_documents(sq._records(spark, sf_dir), sq._TWO, sq._queries(spark), 10, fields=("title", "body"))
     return rows.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), "title", F.length("body").alias("body_chars"))
 
 
