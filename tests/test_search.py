@@ -205,3 +205,22 @@ def test_a_scan_is_a_search(spark):
         assert want and {(r.query_id, r["rank"], r.doc_id): r.score for r in found.collect()} == pytest.approx(want)
     want = se.fuzzy_terms(se.query_terms(asked, index), index.vocabulary).collect()
     assert want and sorted(scan.typos(records, SCHEMA, asked).collect()) == sorted(want)
+
+
+def test_similar_by_blocks(spark, monkeypatch):
+    from quillspark.operators import similarity
+
+    monkeypatch.setattr(similarity, "BLOCK", 8)
+    rng = random.Random(4)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(4)] if i % 6 else [1.0, 0.0, 0.0, 0.0], i % 2 if i < 50 else None) for i in range(55)]
+    vectors += [(60, [0.0] * 4, 0), (61, [1.0, None, 0.0, 0.0], 0), (62, [2.0], 0), (63, None, 0)]
+    rows = spark.createDataFrame(vectors, "vec_id int, v array<double>, label int")
+    asked = rows.filter("vec_id % 3 = 0").selectExpr("vec_id AS query_id", "v AS q", "label AS q_label")
+    pairs = rows.join(asked, F.col("label") == F.col("q_label")).select("query_id", "vec_id", ranking.cosine(F.col("q"), F.col("v")).alias("s")).filter("s >= 0.1").collect()
+    want = {}
+    for q in {r.query_id for r in pairs}:
+        own = sorted(((-round(r.s, 6), r.vec_id, r.s) for r in pairs if r.query_id == q))[:5]
+        want |= {(q, n, v): s for n, (_, v, s) in enumerate(own, 1)}
+    found = similarity.similar(rows, asked, 0.1, 5)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.query_id, r["rank"], r.vec_id): r.similarity for r in found.collect()} == pytest.approx(want)
